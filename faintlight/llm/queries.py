@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faintlight.llm import langid, toxicity
+from faintlight.llm.chat import perspectives
+from faintlight.llm.decontamination import contaminated
 from faintlight.llm.mixing import mixed
 from faintlight.llm.neardup import near_duplicates
 from faintlight.llm.sharding import rendezvous, with_slots
@@ -47,17 +50,47 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives(table(spark, sf_dir, "conversations"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_matched", "n_windows", "n_slots")
+
+
+def remainder(modulus: int) -> Column:
+    """crc32(doc_id as text) mod modulus."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), remainder(3) == 1
+    model = toxicity.learned(docs, table(spark, sf_dir, "labels").where(~held_out))
+    found = toxicity.scored(docs, model, keep=("doc_id", held_out.alias("held_out")), passages=False)
+    return found.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), remainder(5) == 0
+    model = langid.learned(docs.where(~held_out))
+    return langid.identified(docs, model, keep=("doc_id", held_out.alias("held_out")))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_bytes(table(spark, sf_dir, "documents"), digest=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_near_dedup, op2_sharding, op3_mixing, op4_exact_topk, op8_substring_dedup, op10_suffix_array_dedup)
+    for f in (
+        op1_minhash_near_dedup, op2_sharding, op3_mixing, op4_exact_topk, op5_chat_formatting, op6_decontamination,
+        op7_toxicity, op8_substring_dedup, op9_language_id, op10_suffix_array_dedup,
+    )
 }
 
 WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
@@ -95,6 +128,17 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, max(list_inner_product(q.v, c.v))::
     ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op5_chat_formatting": """
+WITH t AS (SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+p AS (SELECT conv_id, speaker, place, coalesce(role = speaker, false) AS own, ((place - 1) // 128)::INTEGER AS part, text || '<|end|>' || chr(10) AS body,
+    CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>'
+    ELSE '<|user:' || coalesce(replace(role, '<|', '< |'), '?') || '|>' END || chr(10) AS head FROM t JOIN s USING (conv_id)),
+o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY place) - length(body) AS pos FROM p)
+SELECT conv_id, speaker, part, count(*)::INTEGER AS n_turns, string_agg(head || body, '' ORDER BY place) AS text,
+    list({'start': pos::INTEGER, 'length': length(body)::INTEGER} ORDER BY place) FILTER (WHERE own) AS mask
+FROM o GROUP BY conv_id, speaker, part""",
     "op8_substring_dedup": f"""
 WITH w AS (SELECT doc_id, coalesce({WORDS}, []) AS ws FROM documents),
 s AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS run FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
