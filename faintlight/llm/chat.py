@@ -22,10 +22,10 @@ def perspectives(
     turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
     system_roles: tuple[str, ...] = SYSTEM, per_part: int = PER_PART,
 ) -> DataFrame:
-    """Every dialogue as seen by each of its participants: (conv_id, speaker, part, n_turns, text, mask).
+    """Every dialogue as seen by each of its participants: (conv_id, speaker, part, n_turns, text, mask_start, mask_length).
 
     In a speaker's rendering its own turns are the assistant's, all others are users with their names; system turns
-    stay system turns and are nobody's perspective. `mask` holds (start, length) in characters of what is to be
+    stay system turns and are nobody's perspective. The masks hold start and length in characters of what is to be
     learned: the assistant's texts with their end markers. Dialogues come in parts of at most `per_part` turns, part 0,
     1, 2 ...; together they hold every turn, so that no group is larger than a part.
 
@@ -65,7 +65,7 @@ def perspectives(
         return F.struct(own.alias("own"), head.alias("head"), body.alias("body"))
 
     seen = seen.withColumn("pieces", F.transform("turns", one))
-    started = F.aggregate(
+    spans = F.aggregate(
         "pieces",
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
         lambda acc, p: F.struct(
@@ -85,5 +85,6 @@ def perspectives(
         "part",
         F.size("turns").alias("n_turns"),
         F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"])), "").alias("text"),
-        started.alias("mask"),
+        F.transform(spans, lambda x: x["start"]).alias("mask_start"),
+        F.transform(spans, lambda x: x["length"]).alias("mask_length"),
     )

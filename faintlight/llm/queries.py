@@ -137,7 +137,8 @@ p AS (SELECT conv_id, speaker, place, coalesce(role = speaker, false) AS own, ((
     ELSE '<|user:' || coalesce(replace(role, '<|', '< |'), '?') || '|>' END || chr(10) AS head FROM t JOIN s USING (conv_id)),
 o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY place) - length(body) AS pos FROM p)
 SELECT conv_id, speaker, part, count(*)::INTEGER AS n_turns, string_agg(head || body, '' ORDER BY place) AS text,
-    list({'start': pos::INTEGER, 'length': length(body)::INTEGER} ORDER BY place) FILTER (WHERE own) AS mask
+    coalesce(list(pos::INTEGER ORDER BY place) FILTER (WHERE own), []) AS mask_start,
+    coalesce(list(length(body)::INTEGER ORDER BY place) FILTER (WHERE own), []) AS mask_length
 FROM o GROUP BY conv_id, speaker, part""",
     "op8_substring_dedup": f"""
 WITH w AS (SELECT doc_id, coalesce({WORDS}, []) AS ws FROM documents),

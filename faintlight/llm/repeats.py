@@ -7,12 +7,11 @@ with the same content-chosen anchor. Equal windows stand in runs with equal anch
 * a run with the same content as an earlier run is repeated as a whole;
 * only first runs that share their gram with other first runs are looked at window by window.
 
-Texts travel packed (zstd), with `part`, a checksum that tells rows apart which share an id.
+Texts travel packed (zstd), with `part`, which tells rows apart that share an id.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -29,7 +28,11 @@ KEY = ["doc_id", "part"]
 
 
 def source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """(doc_id, part, text). Part is 0 where no id repeats, which packs better in the shuffles, else a checksum."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    unique = texts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    checksum = F.lit(0) if unique else F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0))
+    return texts.select("doc_id", (checksum - F.lit(1 << 31)).cast("int").alias("part") if not unique else checksum.alias("part"), "text")
 
 
 def codes_of(texts: Texts, unit: str) -> tuple[np.ndarray, np.ndarray]:
@@ -40,25 +43,20 @@ def codes_of(texts: Texts, unit: str) -> tuple[np.ndarray, np.ndarray]:
     return codes, places
 
 
-def checksums(texts: Texts) -> np.ndarray:
-    return np.array([zlib.crc32(texts.row(r)) for r in range(len(texts))], dtype=np.uint32).view(np.int32)
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
 def run_rows(batches: Iterator[pa.RecordBatch], unit: str, window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Rows of RUNS from (doc_id, text)."""
+    """Rows of RUNS from (doc_id, part, text)."""
     for batch in batches:
-        ids = batch.column(0)
-        for texts in chunks(batch.column(1)):
+        for texts in chunks(batch.column("text")):
             found = anchors(*codes_of(texts, unit), window, gram)
-            row, parts = found["row"], checksums(texts)
+            place = pa.array(found["row"] + texts.first)
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.slice(texts.first, len(texts)).take(pa.array(row)),
-                    pa.array(parts[row]),
+                    batch.column("doc_id").take(place),
+                    batch.column("part").take(place),
                     pa.array(found["low"].astype(np.int32)),
                     pa.array(found["high"].astype(np.int32)),
                     _signed(found["gram"]),
@@ -75,10 +73,10 @@ def runs(texts: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        for texts in chunks(batch.column(1)):
+        for texts in chunks(batch.column("text")):
             packed = [packer.compress(texts.row(r).tobytes()) for r in range(len(texts))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(texts.first, len(texts)), pa.array(checksums(texts)), pa.array(packed, pa.binary())],
+                [*(batch.column(c).slice(texts.first, len(texts)) for c in KEY), pa.array(packed, pa.binary())],
                 names=["doc_id", "part", "packed"],
             )
 
@@ -137,7 +135,7 @@ def judged(found: DataFrame, earlier: Callable) -> DataFrame:
         .where("times > 1")
         .withColumn("covered", earlier(F.col("first"), F.struct("doc_id", "part", "low")))
         .where("covered OR several")
-        .select("doc_id", "part", "low", "high", "gram", "covered")
+        .select("doc_id", "part", "low", "high", F.when(~F.col("covered"), F.col("gram")).alias("gram"), "covered")
     )
 
 

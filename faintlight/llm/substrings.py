@@ -28,7 +28,7 @@ def cells(grams: np.ndarray, depth: int, width: int) -> list[np.ndarray]:
 
 def _sketch(batches: Iterator[pa.RecordBatch], window: int, gram: int, depth: int, width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        grams = [anchors(*repeats.codes_of(texts, "word"), window, gram)["gram"] for texts in chunks(batch.column(1))]
+        grams = [anchors(*repeats.codes_of(texts, "word"), window, gram)["gram"] for texts in chunks(batch.column("text"))]
         cell, n = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *cells(np.concatenate(grams), depth, width)]) if grams else np.zeros(0, dtype=np.int64), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
 
