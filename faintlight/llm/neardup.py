@@ -24,6 +24,8 @@ from faintlight.llm.tokens import chunks, mix, shingle_sets
 
 BINS = 128
 BAND = 4
+TURNS = 2
+DEVIATIONS = 6.0
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -135,9 +137,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A row without an id has no component but is kept. Repeated rows are copies of each other and share an id, so all of
     them are kept; an id with several texts may stand in several components. Other columns are ignored.
 
-    Copies meet in one set first. Banded sketches then propose, in two steps: each set with the smallest one of its
-    bucket; then, for sets in one bucket that are not connected so far, all with each other, where the sketches' low
-    bits don't rule the link out (the bound lies 6.5 standard deviations off). A pair at 0.8 shares no bucket with a
+    Copies meet in one set first. Banded sketches then propose: each set with the smallest one of its bucket; twice, each
+    set with one drawn for each bucket; and at last, for sets in one bucket that are still not connected, all with each
+    other. From the second step on the sketches' low bits may rule a link out (the bound lies DEVIATIONS standard
+    deviations off). A pair at 0.8 shares no bucket with a
     probability under 1e-7.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -167,6 +170,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select(F.col("centre.set_key").alias("a"), F.col("set_key").alias("b"))
         .distinct()
     )
+    stars = written(stars)
     wanted = crowded.select("doc_id").distinct()
     sets = written(
         source.join(wanted, "doc_id", "left_semi")
@@ -176,35 +180,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .groupBy("set_key")
         .agg(F.any_value("hashes").alias("hashes"))
     )
-    first = written(_confirmed(written(stars), sets, percent))
-    label = components(first)
-    open_ = (
-        crowded.join(label.withColumnRenamed("node", "set_key"), "set_key", "left")
-        .withColumn("label", F.coalesce("label", "set_key"))
-        .withColumn("other", F.min("label").over(bucket) != F.max("label").over(bucket))
-        .where("other")
-        .select("band", "set_key", "label", "n", "bits0", "bits1")
-    )
-    open_ = written(open_)
+    first = written(_confirmed(stars, sets, percent))
     share = percent / 100
     agree = (1 + share) / 2
-    most = int(BINS * (1 - agree) + 6.5 * math.sqrt(BINS * agree * (1 - agree)))
-    x, y = open_.alias("x"), open_.alias("y")
-    apart = F.bit_count(F.col("x.bits0").bitwiseXOR(F.col("y.bits0"))) + F.bit_count(F.col("x.bits1").bitwiseXOR(F.col("y.bits1")))
+    most = int(BINS * (1 - agree) + DEVIATIONS * math.sqrt(BINS * agree * (1 - agree)))
+    differing = lambda x, y: F.bit_count(x["bits0"].bitwiseXOR(y["bits0"])) + F.bit_count(x["bits1"].bitwiseXOR(y["bits1"]))
+    member = F.struct("set_key", "label", "n", "bits0", "bits1")
+    possible = lambda x, y: (x["label"] != y["label"]) & fits(x["n"], y["n"]) & (differing(x, y) <= most)
+    ordered = lambda x, y: (F.least(x["set_key"], y["set_key"]).alias("a"), F.greatest(x["set_key"], y["set_key"]).alias("b"))
+
+    def unsettled(links: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components so far."""
+        label = components(links).withColumnRenamed("node", "set_key")
+        rows = crowded.join(label, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
+        several = F.min("label").over(bucket) != F.max("label").over(bucket)
+        return rows.withColumn("several", several).where("several").select("band", member.alias("x"))
+
+    links, tried = first, stars
+    for turn in range(TURNS):
+        chance = F.xxhash64("x.set_key", "band", F.lit(turn))
+        drawn = unsettled(links).withColumn("y", F.min(F.struct(chance.alias("h"), F.col("x").alias("x"))).over(bucket)["x"])
+        pairs = written(drawn.where(possible(F.col("x"), F.col("y"))).select(*ordered(F.col("x"), F.col("y"))).distinct())
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        links, tried = written(links.union(_confirmed(pairs, sets, percent))), tried.union(pairs)
+    open_ = written(unsettled(links))
+    other = open_.withColumnRenamed("x", "y").withColumnRenamed("band", "other_band")
     rest = (
-        x.join(
-            y,
-            (F.col("x.band") == F.col("y.band"))
-            & (F.col("x.set_key") < F.col("y.set_key"))
-            & (F.col("x.label") != F.col("y.label"))
-            & fits(F.col("x.n"), F.col("y.n"))
-            & (apart <= most),
-        )
-        .select(F.col("x.set_key").alias("a"), F.col("y.set_key").alias("b"))
+        open_.join(other, (F.col("band") == F.col("other_band")) & (F.col("x.set_key") < F.col("y.set_key")) & possible(F.col("x"), F.col("y")))
+        .select(*ordered(F.col("x"), F.col("y")))
         .distinct()
-        .join(stars, ["a", "b"], "left_anti")
     )
-    links = written(first.union(_confirmed(written(rest), sets, percent)))
+    rest = written(rest).join(tried, ["a", "b"], "left_anti")
+    links = written(links.union(_confirmed(rest, sets, percent)))
     groups = components(links).withColumnRenamed("node", "set_key")
     degree = links.select(F.explode(F.array("a", "b")).alias("set_key")).groupBy("set_key").agg(F.count("*").alias("n_links"))
     ids = distinct.select("set_key", "doc_id").join(groups, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
