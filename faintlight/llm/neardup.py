@@ -26,8 +26,9 @@ BINS = 128
 BAND = 4
 TURNS = 1
 DEVIATIONS = 4.5
-#: Four bits of each bin, 16 bins to a column.
-BITS = [f"bits{i}" for i in range(BINS // 16)]
+#: Bins of the finer sketches that rule links out; one bit of each is kept, 64 bins to a column.
+FINE_BINS = 1024
+BITS = [f"bits{i}" for i in range(FINE_BINS // 64)]
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -36,14 +37,17 @@ def sketches(hashes: np.ndarray, rows: np.ndarray, n: int, bins: int = BINS) ->
     out = np.full(n * bins, _EMPTY, dtype=np.uint64)
     low = np.uint64((1 << 48) - 1)
     shift = np.uint64(64 - int(math.log2(bins)))
-    for i in range(2 * bins):
-        if not len(hashes):
-            break
-        x = mix(hashes + np.uint64((i + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        bin_ = (x >> shift).astype(np.int64) if i < bins else np.int64(i - bins)
+    i = 0
+    while i < 2 * bins and len(hashes):
+        # Several rounds at once where few elements are left; later rounds' values are larger and displace nothing.
+        turns = np.arange(i, min(2 * bins, i + max(1, (1 << 15) // len(hashes))))
+        x = mix(hashes + ((turns + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None])
+        bin_ = np.where(turns[:, None] < bins, (x >> shift).astype(np.int64), (turns - bins)[:, None])
         cell = rows * bins + bin_
         open_ = out[cell] == _EMPTY
-        np.minimum.at(out, cell[open_], (x[open_] & low) | np.uint64(i << 48))
+        values = (x & low) | (turns.astype(np.uint64) << np.uint64(48))[:, None]
+        np.minimum.at(out, cell[open_], values[open_])
+        i = int(turns[-1]) + 1
         live = np.unique(rows)
         done = np.zeros(n, dtype=bool)
         done[live] = ~(out.reshape(n, bins)[live] == _EMPTY).any(axis=1)
@@ -78,8 +82,6 @@ def _summaries(width: int):
                 table = sketches(np.concatenate(sets), rows, len(sets))
                 bands = mix(table.reshape(len(sets), -1, BAND) + np.arange(BAND, dtype=np.uint64))
                 bands = mix(bands.sum(axis=2, dtype=np.uint64) + np.arange(BINS // BAND, dtype=np.uint64))
-                low = (table & np.uint64(15)).astype(np.uint8)
-                bits = np.ascontiguousarray(low[:, ::2] << 4 | low[:, 1::2]).view(np.int64)
                 full = sizes > 0
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -87,9 +89,8 @@ def _summaries(width: int):
                         pa.array(sizes),
                         pa.array(_keys(sets), pa.binary()),
                         _ragged(_signed(bands[full].ravel()), np.where(full, BINS // BAND, 0)),
-                        *(pa.array(np.ascontiguousarray(b)) for b in bits.T),
                     ],
-                    names=["doc_id", "n_shingles", "set_key", "bands", *BITS],
+                    names=["doc_id", "n_shingles", "set_key", "bands"],
                 )
 
     return task
@@ -109,6 +110,26 @@ def _whole_sets(width: int):
     return task
 
 
+def _fine_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set_key, BITS) from (set_key, hashes)."""
+    for batch in batches:
+        sizes = batch.column("hashes").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.append(0, np.cumsum(sizes))
+        hashes = batch.column("hashes").flatten().to_numpy().view(np.uint64)
+        first = 0
+        while first < len(sizes):
+            last = int(np.searchsorted(ends, ends[first] + (1 << 17), side="right")) - 1
+            last = min(max(last, first + 1), first + 1000, len(sizes))
+            rows = np.repeat(np.arange(last - first), sizes[first:last])
+            table = sketches(hashes[ends[first] : ends[last]], rows, last - first, FINE_BINS)
+            bits = np.packbits((table & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("set_key").slice(first, last - first), *(pa.array(np.ascontiguousarray(b)) for b in bits.T)],
+                names=["set_key", *BITS],
+            )
+            first = last
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union.
 
@@ -142,25 +163,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Copies meet in one set first. Banded sketches then propose: each set with the one of its bucket that meets
     most others over all buckets, as the original of many copies does; then each
     set with one drawn for each bucket; and at last, for sets in one bucket that are still not connected, all with each
-    other. From the second step on the sketches (four bits a bin) may rule a link out: the bound lies DEVIATIONS
-    standard deviations off, so that of links not found before at most 4 in a million are lost. A pair at 0.8 shares no bucket with a
-    probability under 1e-7.
+    other, each pair in the first bucket that it shares. From the second step on finer sketches (FINE_BINS bins, a bit
+    of each) may rule a link out: the bound lies DEVIATIONS standard deviations off, so that of links not found before
+    at most 4 in a million are lost. A pair at 0.8 shares no bucket with a probability under 1e-7.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     summary = written(
         source.mapInArrow(
-            _summaries(width), "doc_id long, n_shingles long, set_key binary, bands array<long>" + "".join(f", {b} long" for b in BITS)
+            _summaries(width), "doc_id long, n_shingles long, set_key binary, bands array<long>"
         )
     )
     distinct = (
         summary.where("set_key IS NOT NULL")
         .groupBy("set_key")
-        .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max_by(F.struct("bands", *BITS), "n_shingles").alias("s"))
-        .select("set_key", "doc_id", "n", "s.*")
+        .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
     )
     bucket = Window.partitionBy("band")
     crowded = written(
-        distinct.select("set_key", "doc_id", "n", *BITS, F.explode("bands").alias("band"))
+        distinct.select("set_key", "doc_id", "n", F.explode("bands").alias("band"))
         .withColumn("members", F.count("*").over(bucket))
         .where("members > 1")
     )
@@ -184,21 +204,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.any_value("hashes").alias("hashes"))
     )
     first = written(_confirmed(stars, sets, percent))
-    share = percent / 100
-    apart = (1 - share) * 15 / 16
-    most = int(BINS * apart + DEVIATIONS * math.sqrt(BINS * apart * (1 - apart)))
+    odds = (1 - percent / 100) / 2
+    most = int(FINE_BINS * odds + DEVIATIONS * math.sqrt(FINE_BINS * odds * (1 - odds)))
 
     def differing(x: Column, y: Column) -> Column:
-        """In how many bins the four bits differ."""
-        total = F.lit(0)
-        for b in BITS:
-            d = x[b].bitwiseXOR(y[b])
-            d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
-            d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
-            total = total + F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
-        return total
-
-    member = F.struct("set_key", "label", "n", *BITS)
+        """In how many bins the bits differ."""
+        return sum((F.bit_count(x[b].bitwiseXOR(y[b])) for b in BITS), F.lit(0))
+
     possible = lambda x, y: (x["label"] != y["label"]) & fits(x["n"], y["n"]) & (differing(x, y) <= most)
     ordered = lambda x, y: (F.least(x["set_key"], y["set_key"]).alias("a"), F.greatest(x["set_key"], y["set_key"]).alias("b"))
 
@@ -207,22 +219,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         label = components(links).withColumnRenamed("node", "set_key")
         rows = crowded.join(label, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
         several = F.min("label").over(bucket) != F.max("label").over(bucket)
-        return rows.withColumn("several", several).where("several").select("band", member.alias("x"))
+        return rows.withColumn("several", several).where("several").select("band", "set_key", "label", "n")
 
+    open_ = written(unsettled(first))
+    bands = open_.groupBy("set_key").agg(F.collect_set("band").alias("bands"))
+    fine = sets.join(bands, "set_key", "left_semi").mapInArrow(_fine_bits, "set_key binary" + "".join(f", {b} long" for b in BITS))
+    fine = written(fine.join(bands, "set_key"))
     links, tried = first, stars
     for turn in range(TURNS):
+        member = F.struct("set_key", "label", "n", *BITS)
         chance = F.xxhash64("x.set_key", "band", F.lit(turn))
-        drawn = unsettled(links).withColumn("y", F.min(F.struct(chance.alias("h"), F.col("x").alias("x"))).over(bucket)["x"])
+        rows = open_.join(fine, "set_key").select("band", member.alias("x"))
+        drawn = rows.withColumn("y", F.min(F.struct(chance.alias("h"), F.col("x").alias("x"))).over(bucket)["x"])
         pairs = written(drawn.where(possible(F.col("x"), F.col("y"))).select(*ordered(F.col("x"), F.col("y"))).distinct())
         pairs = pairs.join(tried, ["a", "b"], "left_anti")
         links, tried = written(links.union(_confirmed(pairs, sets, percent))), tried.union(pairs)
-    open_ = written(unsettled(links))
-    other = open_.withColumnRenamed("x", "y").withColumnRenamed("band", "other_band")
-    rest = (
-        open_.join(other, (F.col("band") == F.col("other_band")) & (F.col("x.set_key") < F.col("y.set_key")) & possible(F.col("x"), F.col("y")))
-        .select(*ordered(F.col("x"), F.col("y")))
-        .distinct()
-    )
+        open_ = written(unsettled(links))
+    member = F.struct("set_key", "label", "n", "bands", *BITS)
+    left = open_.join(fine, "set_key").select("band", member.alias("x"))
+    right = left.withColumnsRenamed({"x": "y", "band": "other_band"})
+    x, y = F.col("x"), F.col("y")
+    here = F.array_min(F.array_intersect(x["bands"], y["bands"])) == F.col("band")
+    meet = (F.col("band") == F.col("other_band")) & (x["set_key"] < y["set_key"])
+    rest = left.join(right, meet & possible(x, y) & here).select(*ordered(x, y))
     rest = written(rest).join(tried, ["a", "b"], "left_anti")
     links = written(links.union(_confirmed(rest, sets, percent)))
     groups = components(links).withColumnRenamed("node", "set_key")
