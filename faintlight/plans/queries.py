@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from faintlight import curves
 from faintlight.functions import features
-from faintlight.operators import crossmatch, detect, neighbours, quality, stats
+from faintlight.operators import crossmatch, detect, matching, models, neighbours, quality, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -586,6 +586,73 @@ def radec_from_designation(spark, sf_dir):
     return rounded(table(spark, sf_dir, "supplier").select("s_suppkey", ra.alias("ra"), dec.alias("dec")))
 
 
+# ---- matching, components, controls
+
+
+@query("""WITH d AS (SELECT q.vec_id AS id, q.label AS label, c.label AS other, avg(list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[])) AS d FROM embeddings q JOIN embeddings c ON q.vec_id % 5 = 0 AND q.vec_id <> c.vec_id GROUP BY ALL),
+s AS (SELECT id, label, min(d) FILTER (WHERE label = other) AS a, min(d) FILTER (WHERE label <> other) AS b FROM d GROUP BY ALL)
+SELECT id, label, round(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM s""")
+def silhouette_exact(spark, sf_dir):
+    v = _vectors(spark, sf_dir).withColumn("label", F.col("label").cast("long"))
+    return rounded(neighbours.silhouettes(v.where("id % 5 = 0"), v))
+
+
+@query()
+def greedy_match(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    near = neighbours.nearest(v.where("id % 2 = 0").select("id", "v"), v.where("id % 2 = 1").select("id", "v"), 10)
+    return rounded(matching.greedy_match(matching.close_pairs(near)))
+
+
+@query("""WITH r AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r FROM lineitem)
+SELECT 1 AS component, round((1 + r) / 2, 6) AS ratio, round((1 + r) / 2, 6) AS cumulative FROM r UNION ALL SELECT 2, round((1 - r) / 2, 6), 1.0 FROM r""")
+def pca_variance(spark, sf_dir):
+    return rounded(models.explained_variance(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"], 2))
+
+
+def _labelled(spark, sf_dir):
+    v = _vectors(spark, sf_dir).withColumnRenamed("label", "clase")
+    return v.where("id % 5 <> 0"), v.where("id % 5 = 0")
+
+
+@query()
+def rf_control(spark, sf_dir):
+    return models.forest_control(*_labelled(spark, sf_dir))
+
+
+@query()
+def logreg_control(spark, sf_dir):
+    return models.logistic_control(*_labelled(spark, sf_dir))
+
+
+@query("SELECT o_orderkey, o_totalprice, c_acctbal FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_mktsegment = 'BUILDING' WHERE o_totalprice IS NOT NULL AND c_acctbal IS NOT NULL")
+def complete_cases(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
+    return table(spark, sf_dir, "orders").join(c, "o_custkey", "left").select("o_orderkey", "o_totalprice", "c_acctbal").dropna("any")
+
+
+@query("SELECT d.doc_id, l.quality AS score, coalesce(l.toxic = 1, false) AS flag FROM documents d LEFT JOIN labels l USING (doc_id)")
+def left_join_scores(spark, sf_dir):
+    scores = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("score"), (F.col("toxic") == 1).alias("flag"))
+    return table(spark, sf_dir, "documents").select("doc_id").join(scores, "doc_id", "left").withColumn("flag", F.coalesce("flag", F.lit(False)))
+
+
+_RECALL = "SELECT o_orderpriority AS clase, round(avg((o_totalprice > {at})::INT), 6) AS recall FROM orders GROUP BY ALL"
+
+
+@query(f"SELECT clase, a.recall AS recall_a, b.recall AS recall_b, round(b.recall - a.recall, 6) AS difference FROM ({_RECALL.format(at=50000)}) a JOIN ({_RECALL.format(at=30000)}) b USING (clase)")
+def inner_join_recalls(spark, sf_dir):
+    recall = lambda at, name: rounded(table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("clase")).agg(F.avg((F.col("o_totalprice") > at).cast("int")).alias(name)))
+    both = recall(50000, "recall_a").join(recall(30000, "recall_b"), "clase")
+    return rounded(both.withColumn("difference", F.col("recall_b") - F.col("recall_a")))
+
+
+@query("SELECT o_custkey * 1000000000000 + o_orderkey AS oid, (o_custkey * 1000000000000 + o_orderkey) // 1000000000000 AS field FROM orders")
+def field_from_oid(spark, sf_dir):
+    oid = F.col("o_custkey") * F.lit(10**12) + F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(oid.alias("oid"), F.expr("(o_custkey * 1000000000000L + o_orderkey) div 1000000000000L").alias("field"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main-band features of every object, in order of object."""
     return core12_main_band(spark, sf_dir).orderBy("id_objeto")

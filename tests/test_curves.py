@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faintlight import curves
 from faintlight.functions import features
-from faintlight.operators import crossmatch, detect, forest, quality, stats
+from faintlight.operators import crossmatch, detect, forest, matching, models, neighbours, quality, stats
 from faintlight.sources import registry
 
 
@@ -116,3 +116,29 @@ def test_nested_source(spark):
     band = "struct<mjd:array<double>,target:array<double>,past_feat_dynamic_real:array<double>>"
     f = spark.createDataFrame([("s", "RRab", ({"mjd": [1.0, 2.0], "target": [3.0, 4.0], "past_feat_dynamic_real": [0.1, 0.2]}, None, None))], f"sourceid string, class_str string, bands_data struct<g:{band},r:{band},i:{band}>")
     assert [(r["banda"], r["t"], r["m"], r["e"]) for r in registry.nested(f).collect()] == [("g", 1.0, 3.0, 0.1), ("g", 2.0, 4.0, 0.2)]
+
+
+def test_greedy_match_takes_what_one_sequence_would(spark):
+    pairs = [(a, b, float((a * 7 + b * 13) % 5)) for a in range(12) for b in range(9) if (a + b) % 3]
+    used, wanted = set(), set()
+    for d, a, b in sorted((d, a, b) for a, b, d in pairs):
+        if ("a", a) not in used and ("b", b) not in used:
+            used |= {("a", a), ("b", b)}
+            wanted.add((a, b, d))
+    kinds = "id long, neighbour long, distance double"
+    rows = [*pairs, pairs[0], (1, None, 0.0), (None, 2, 0.0), (3, 3, float("nan"))]
+    assert {tuple(r) for r in matching.greedy_match(spark.createDataFrame(rows, kinds)).collect()} == wanted
+    assert matching.greedy_match(spark.createDataFrame([], kinds)).count() == 0
+
+
+def test_silhouettes(spark):
+    v = spark.createDataFrame([(0, [0.0], 0), (1, [1.0], 0), (2, [10.0], 1), (3, None, 1)], "id long, v array<double>, label long")
+    got = {r["id"]: r["silhouette"] for r in neighbours.silhouettes(v, v).collect()}
+    assert got == {0: pytest.approx(0.9), 1: pytest.approx(8 / 9), 2: 0.0}
+
+
+def test_controls_learn_separate_classes(spark):
+    rows = [(i, "ab"[i % 2], [float(i % 2 * 10 + i % 3), float(i % 5)]) for i in range(60)]
+    v = spark.createDataFrame(rows, "id long, clase string, v array<double>")
+    for got in (models.forest_control(v, v, trees=5), models.logistic_control(v, v)):
+        assert all(r["clase"] == r["prediction"] for r in got.collect())
