@@ -19,8 +19,9 @@ def greedy_match(pairs: DataFrame) -> DataFrame:
     would take; their ends then leave. Ties go to the smaller id, then to the smaller neighbour. Pairs with nulls or a
     distance that is NaN are left out, repeated pairs count once, and no pairs give no rows.
     """
-    if pairs.sparkSession.sparkContext.getCheckpointDir() is None:
-        pairs.sparkSession.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    spark = pairs.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
     left = pairs.select("id", "neighbour", "distance").where("NOT isnan(distance)").dropna().distinct().checkpoint()
     order = F.struct("distance", "id", "neighbour")
     taken = left.limit(0)
