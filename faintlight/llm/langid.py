@@ -9,6 +9,7 @@ all segmentations of a language's words, weighted by their probability.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -27,7 +28,9 @@ CACHE = 400_000
 SLICE_ROWS = 256
 UNKNOWN = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Numerals such as one half or superscript two, which \\w holds beside letters and \\d doesn't.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 _PART = 32
 
 

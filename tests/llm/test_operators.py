@@ -196,10 +196,10 @@ def test_languages(spark):
     rows = [(i, " ".join(rng.choice(pools[k]) for _ in range(20)), k) for i in range(40) for k in [("en", "de")[i % 2]]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.learned(docs.where("doc_id < 20"))
-    odd = spark.createDataFrame([(90, None, None), (91, "123 !?", None), (92, "", None), (93, "x" * 100_000, None)], "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(90, None, None), (91, "123 !?", None), (92, "", None), (94, "½ ³ 7", None), (93, "x" * 100_000, None)], "doc_id long, text string, lang string")
     got = {r["doc_id"]: r for r in langid.identified(docs.union(odd), model).collect()}
     assert all(got[i]["lang_pred"] == k for i, _, k in rows)
-    assert [got[i]["lang_pred"] for i in (90, 91, 92)] == ["und"] * 3 and 0 <= got[93]["score"] <= 1
+    assert [got[i]["lang_pred"] for i in (90, 91, 92, 94)] == ["und"] * 4 and 0 <= got[93]["score"] <= 1
     empty = langid.identified(docs, langid.learned(docs.where("false")))
     assert {r["lang_pred"] for r in empty.collect()} == {"und"}
 
