@@ -28,9 +28,10 @@ CACHE = 400_000
 SLICE_ROWS = 256
 UNKNOWN = "und"
 
-#: Numerals such as one half or superscript two, which \\w holds beside letters and \\d doesn't.
+#: Numerals such as one half or superscript two, which \w holds beside letters and \d doesn't.
 _NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
-_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_WORD = re.compile(r"[^\W\d_]+")
+_NUMERAL = re.compile(f"[{_NUMERALS}]+")
 _PART = 32
 
 
@@ -46,6 +47,8 @@ def pieces(path: str = VOCABULARY) -> frozenset[str]:
 def words(text: str) -> list[str]:
     """The lower-cased runs of letters; overlong runs in parts."""
     found = _WORD.findall(text.lower())
+    if not text.isascii() and not all(map(str.isalpha, found)):
+        found = [part for word in found for part in _NUMERAL.split(word) if part]
     if max(map(len, found), default=0) > _PART:
         found = [word[i : i + _PART] for word in found for i in range(0, len(word), _PART)]
     return found
