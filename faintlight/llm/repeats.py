@@ -96,7 +96,8 @@ def _unpacked(column: pa.Array) -> Iterator[Texts]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch], unit: str, window: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for whole in batches:
+        batch = whole.filter(whole.column("asked").is_valid())
         for texts in _unpacked(batch.column("packed")):
             codes, places = codes_of(texts, unit)
             sums = prefix_sums(codes)
@@ -117,10 +118,13 @@ def _windows(batches: Iterator[pa.RecordBatch], unit: str, window: int) -> Itera
             )
 
 
-def windows(asked: DataFrame, texts: DataFrame, unit: str, window: int) -> DataFrame:
-    """(doc_id, part, at, window): every window of the runs asked for, with a hash of its content and gram."""
+def windows(asked: DataFrame, packed_: DataFrame, unit: str, window: int) -> DataFrame:
+    """(doc_id, part, at, window): every window of the runs asked for, with a hash of its content and gram.
+
+    The join is a left one so that its shuffle of the packed texts is the same as that of the last join, which reuses it.
+    """
     lists = asked.groupBy(*KEY).agg(F.collect_set(F.struct("low", "high", "gram")).alias("asked"))
-    return packed(texts).join(lists, KEY).mapInArrow(
+    return packed_.join(lists, KEY, "left").mapInArrow(
         partial(_windows, unit=unit, window=window), "doc_id long, part int, at int, window long"
     )
 

@@ -89,8 +89,9 @@ def without_repeats(
         found = found.join(crowded.withColumnRenamed("cell", f"cell{r}"), f"cell{r}", "left_semi").drop(f"cell{r}")
     earlier = lambda first, own: first["doc_id"] < own["doc_id"]
     runs = written(repeats.judged(found, earlier))
-    single = repeats.repeated_windows(repeats.windows(runs.where("NOT covered"), texts, "word", window), earlier)
+    packed = repeats.packed(texts)
+    single = repeats.repeated_windows(repeats.windows(runs.where("NOT covered"), packed, "word", window), earlier)
     spans = repeats.spans_of(runs.where("covered"), single, window)
     last = "kept_sha256" if digest else "text"
     cut = partial(repeats.cut, keep=_digest if digest else _text, names=["n_words", "n_removed", last])
-    return repeats.packed(texts).join(spans, repeats.KEY, "left").mapInArrow(cut, f"doc_id long, n_words long, n_removed long, {last} string")
+    return packed.join(spans, repeats.KEY, "left").mapInArrow(cut, f"doc_id long, n_words long, n_removed long, {last} string")

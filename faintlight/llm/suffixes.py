@@ -56,8 +56,9 @@ def without_repeated_bytes(
     texts = repeats.source(docs, id_col, text_col)
     earlier = lambda first, own: first < own
     runs = written(repeats.judged(repeats.runs(texts, "byte", threshold, gram), earlier))
-    single = repeats.repeated_windows(repeats.windows(runs.where("NOT covered"), texts, "byte", threshold), earlier)
+    packed = repeats.packed(texts)
+    single = repeats.repeated_windows(repeats.windows(runs.where("NOT covered"), packed, "byte", threshold), earlier)
     spans = repeats.spans_of(runs.where("covered"), single, threshold)
     last = "kept_sha256 string" if digest else "kept binary"
     cut = partial(repeats.cut, keep=_digest if digest else _bytes, names=["n_bytes", "n_removed", "n_spans", last.split()[0]])
-    return repeats.packed(texts).join(spans, repeats.KEY, "left").mapInArrow(cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
+    return packed.join(spans, repeats.KEY, "left").mapInArrow(cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
