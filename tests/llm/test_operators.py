@@ -190,6 +190,16 @@ def test_slot_conflicts_count_against_a_match(spark):
     assert [r["doc_id"] for r in got] == [2]
 
 
+def test_items_of_few_literals_and_short_items_are_found_verbatim(spark):
+    items = ["What is 17 + 25 - 3 * 8?", "12 + 30 - 7 = ?", "Marie Curie", "blue whales sing"]
+    held = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(i, f"A longer text says so here: {t} And then it goes on.") for i, t in enumerate(items)] + [(9, "What is 18 + 26 - 4 * 9? And 13 + 31 - 8 = 36")]
+    got = decontamination.contaminated(frame(spark, rows), held).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in range(4)}
+    left = decontamination.decontaminated(frame(spark, rows), held).collect()
+    assert [r["doc_id"] for r in left] == [9]
+
+
 def test_languages(spark):
     rng = random.Random(2)
     pools = {"en": "the house with many things and their weather".split(), "de": "das haus mit vielen dingen und ihrem wetter".split()}
