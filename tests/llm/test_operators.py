@@ -200,6 +200,21 @@ def test_items_of_few_literals_and_short_items_are_found_verbatim(spark):
     assert [r["doc_id"] for r in left] == [9]
 
 
+def test_reparameterised_questions_are_found(spark):
+    names = "Tom had 12 marbles. Tom gave 5 to Sam. Tom found 7 more. How many marbles does Tom have?"
+    long = "Then Marie Curie, after 3 hours of work at home with 5 other people from the village, went away for a long walk"
+    trains = "A man sees 2 trains leave the old station on the hill and waits for 2 hours until the next of them comes back to him again"
+    items = spark.createDataFrame([(0, names), (1, long), (2, trains)], "item_id long, text string")
+    rows = [
+        (0, "Max had 31 marbles. Max gave 8 to Joe. Max found 2 more. How many marbles does Max have?"),
+        (1, long.replace("Marie Curie", "Tom").replace("3", "4").replace("5", "4")),
+        (2, trains.replace("2 hours", "4 hours")),
+        (3, "12 marbles are here. And 5 go to Sam. He found 7 more things, which nobody has"),
+    ]
+    got = decontamination.contaminated(frame(spark, rows), items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(0, 0), (1, 1), (2, 2)}
+
+
 def test_languages(spark):
     rng = random.Random(2)
     pools = {"en": "the house with many things and their weather".split(), "de": "das haus mit vielen dingen und ihrem wetter".split()}
