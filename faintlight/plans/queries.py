@@ -543,20 +543,17 @@ def _part_features(spark, sf_dir):
 
 @query()
 def iforest_lof_global(spark, sf_dir):
-    return detect.detect_global(*_part_features(spark, sf_dir), features.CORE, trees=100)
+    return detect.detect_global(*_part_features(spark, sf_dir), features.CORE)
 
 
 @query()
 def ood_min_score(spark, sf_dir):
-    train, test = _part_features(spark, sf_dir)
-    known = train.where(F.col("clase").isin("Brand#11", "Brand#12", "Brand#13"))
-    return detect.detect_against_classes(known, test, features.CORE, trees=50).drop("scores")
+    return detect.detect_against_classes(*_part_features(spark, sf_dir), features.CORE).drop("scores")
 
 
 @query()
 def full_pipeline(spark, sf_dir):
-    train, test = (x.where(F.col("clase").isin("Brand#11", "Brand#12", "Brand#13")) for x in _part_features(spark, sf_dir))
-    return detect.detect(train, test, features.CORE, trees=50, control_trees=50)
+    return detect.detect(*_part_features(spark, sf_dir), features.CORE)
 
 
 # ---- positions

@@ -142,3 +142,27 @@ def test_controls_learn_separate_classes(spark):
     v = spark.createDataFrame(rows, "id long, clase string, v array<double>")
     for got in (models.forest_control(v, v, trees=5), models.logistic_control(v, v)):
         assert all(r["clase"] == r["prediction"] for r in got.collect())
+
+
+def test_detector_queries_take_all_classes_and_trees(spark, monkeypatch):
+    from faintlight.plans import queries
+
+    calls = []
+    for name in ("detect", "detect_global", "detect_against_classes"):
+        monkeypatch.setattr(detect, name, lambda train, test, columns, **options: calls.append((train, test, options)) or train.withColumn("scores", F.lit(0)))
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/part.parquet").select("p_brand").distinct().count()
+    for name in ("full_pipeline", "ood_min_score", "iforest_lof_global"):
+        queries.QUERIES[name](spark, sf)
+        train, test, options = calls.pop()
+        assert train.union(test).select("clase").distinct().count() == n and not options
+
+
+def test_forests_of_classes_are_those_of_each_class(spark):
+    rows = [(i, "ab"[i % 2], [(i * 7 % 11) / 11, (i * 5 % 13) / 13]) for i in range(80)]
+    v = spark.createDataFrame(rows, "id long, clase string, v array<double>")
+    got = forest.grown_by_class(v, trees=5)
+    for k in "ab":
+        size, trees = forest.grown(v.where(F.col("clase") == k), trees=5)
+        plain = lambda ts: sorted((t["tree"], t["feature"], t["cut"], t["path"]) for t in ts)
+        assert got[k][0] == size and plain(got[k][1]) == plain(trees)
