@@ -597,8 +597,7 @@ def silhouette_exact(spark, sf_dir):
 @query()
 def greedy_match(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    near = neighbours.nearest(v.where("id % 2 = 0").select("id", "v"), v.where("id % 2 = 1").select("id", "v"), 10)
-    return rounded(matching.greedy_match(matching.close_pairs(near)))
+    return rounded(matching.match_all(v.where("id % 2 = 0").select("id", "v"), v.where("id % 2 = 1").select("id", "v")))
 
 
 @query("""WITH r AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r FROM lineitem)

@@ -131,6 +131,23 @@ def test_greedy_match_takes_what_one_sequence_would(spark):
     assert matching.greedy_match(spark.createDataFrame([], kinds)).count() == 0
 
 
+def test_matching_goes_on_after_the_first_neighbours(spark):
+    where = {i: float(i * i % 17) / 16 + (5.0 if i > 30 else 0.0) for i in range(40)} | {i: 3.0 for i in range(40, 64)}
+    v = spark.createDataFrame([(i, [x]) for i, x in where.items()], "id long, v array<double>")
+    a, b = v.where("id % 2 = 0"), v.where("id % 2 = 1")
+    for k in (2, 5):
+        near = neighbours.nearest(a, b, k)
+        bound = 1.5 * near.agg(F.percentile("distance", 0.25)).first()[0] if k > 2 else 0.0
+        used, wanted = set(), set()
+        for d, x, y in sorted((abs(where[x] - where[y]), x, y) for x in where for y in where if x % 2 == 0 and y % 2 == 1):
+            if d <= bound and x not in used and y not in used:
+                used |= {x, y}
+                wanted.add((x, y))
+        factor = 1.5 if k > 2 else 0.0
+        assert {(r["id"], r["neighbour"]) for r in matching.match_all(a, b, k, factor).collect()} == wanted
+        assert {40, 42, 44, 46, 48, 50, 52, 54, 56, 58, 60, 62} <= {x for x, _ in wanted}
+
+
 def test_silhouettes(spark):
     v = spark.createDataFrame([(0, [0.0], 0), (1, [1.0], 0), (2, [10.0], 1), (3, None, 1)], "id long, v array<double>, label long")
     got = {r["id"]: r["silhouette"] for r in neighbours.silhouettes(v, v).collect()}
