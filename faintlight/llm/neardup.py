@@ -89,8 +89,9 @@ def _summaries(width: int):
                         pa.array(sizes),
                         pa.array(_keys(sets), pa.binary()),
                         _ragged(_signed(bands[full].ravel()), np.where(full, BINS // BAND, 0)),
+                        batch.column(2).slice(texts.first, len(texts)),
                     ],
-                    names=["doc_id", "n_shingles", "set_key", "bands"],
+                    names=["doc_id", "n_shingles", "set_key", "bands", "part"],
                 )
 
     return task
@@ -168,19 +169,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at most 4 in a million are lost. A pair at 0.8 shares no bucket with a probability under 1e-7.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = source.withColumn("part", F.xxhash64("text"))
     summary = written(
         source.mapInArrow(
-            _summaries(width), "doc_id long, n_shingles long, set_key binary, bands array<long>"
+            _summaries(width), "doc_id long, n_shingles long, set_key binary, bands array<long>, part long"
         )
     )
     distinct = (
         summary.where("set_key IS NOT NULL")
         .groupBy("set_key")
-        .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
+        .agg(
+            F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.any_value("bands").alias("bands"),
+            F.min(F.struct("doc_id", "part")).alias("sample"),
+        )
     )
     bucket = Window.partitionBy("band")
     crowded = written(
-        distinct.select("set_key", "doc_id", "n", F.explode("bands").alias("band"))
+        distinct.select("set_key", "sample", "n", F.explode("bands").alias("band"))
         .withColumn("members", F.count("*").over(bucket))
         .where("members > 1")
     )
@@ -194,9 +199,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .distinct()
     )
     stars = written(stars)
-    wanted = crowded.select("doc_id").distinct()
+    wanted = crowded.select(F.col("sample.doc_id").alias("wanted_id"), F.col("sample.part").alias("wanted_part")).distinct()
+    has = F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("part") == F.col("wanted_part"))
     sets = written(
-        source.join(wanted, "doc_id", "left_semi")
+        source.join(wanted, has, "left_semi")
         .select("text")
         .mapInArrow(_whole_sets(width), "set_key binary, hashes array<long>")
         .join(crowded.select("set_key").distinct(), "set_key", "left_semi")
@@ -249,9 +255,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = distinct.select("set_key", "doc_id").join(groups, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     ids = written(ids)
     smallest = ids.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    per_set = written(ids.join(smallest, "label").join(degree, "set_key", "left").select("set_key", "component_id", "n_links"))
+    per_set = written(ids.join(smallest, "label").join(degree, "set_key", "left").select("set_key", "component_id", "n_links", "label"))
     return (
-        summary.select("doc_id", "n_shingles", "set_key")
+        summary.select("doc_id", "n_shingles", "set_key", "part")
         .join(per_set, "set_key", "left")
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
         .select(
@@ -260,5 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             "component_id",
             F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+            "part",
+            F.col("label").alias("set_component"),
         )
     )

@@ -19,7 +19,7 @@ DEPTH = 64
 
 
 def threshold_search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query the k best of the rows but its own: (query id, ids, scores), by the threshold algorithm.
+    """For each query the k best ids of the rows but its own: (query id, ids, scores), by the threshold algorithm.
 
     Every dimension has a list of the rows in order of their component. All lists are read from their better end, a
     few places at a time; rows that come up are scored in full. No row that has not come up can score more than the
@@ -47,7 +47,8 @@ def threshold_search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarra
             seen[new] = True
             scores[new] = rows[new] @ q
             pool = np.concatenate([best, new[ids[new] != own]])
-            best = pool[np.lexsort((ids[pool], -scores[pool]))[:k]]
+            pool = pool[np.lexsort((ids[pool], -scores[pool]))]
+            best = pool[np.sort(np.unique(ids[pool], return_index=True)[1])[:k]]  # each id's best vector
             if end == n:
                 break
             at = np.where(up < 0, n - end, end - 1)

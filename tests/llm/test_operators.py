@@ -282,3 +282,25 @@ def test_pipeline(spark):
     for s in {r["shard"] for r in out}:
         slots = sorted(r["slot"] for r in out if r["shard"] == s)
         assert slots == list(range(len(slots)))
+
+
+def test_near_dedup_decides_by_text(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    text = [[rng.choice(WORDS) for _ in range(200)] for _ in range(4)]
+    one, two, three, four = (" ".join(t) for t in text)
+    # The first and last of these are linked over the middle one only, which has no id.
+    chain = [" ".join([*text[2][:200 - k], *(f"x{i}" for i in range(k))]) for k in (0, 16, 32)]
+    rows = [(1, one), (2, one), (2, two), (None, one), (None, one + " x"), (None, four), (None, four + " x"), (5, chain[0]), (None, chain[1]), (7, chain[2]), (None, None), (8, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, size int")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert {x for x in got if x[1] not in (four, four + " x")} == {(1, one), (2, two), (5, chain[0]), (None, None), (8, None), (9, "")}
+    assert len(got) == 7
+
+
+def test_top_k_counts_an_id_once(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0 - i / 100, 0.0]) for i in range(8)] + [(i, [0.5 - i / 100, 0.0]) for i in range(2, 6)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.nearest(v, F.col("vec_id") == 0, k=4).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 3, 4]
