@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faintlight.llm.sharding import hash60
-from faintlight.llm.store import written
+from faintlight.llm.store import clear_of, small, written
 
 PER_BUCKET = 20_000
 
@@ -68,20 +68,27 @@ def mixed(
     what it gets differs from the target by about one document. `copies` says how often the row is taken.
 
     The size is the number of words (null: 0); rows of size 0 are never taken. A null source is a source like any
-    other. Columns of docs with the added names are replaced. Repeated rows and rows without an id are shuffled by
-    all they hold; equal rows stand next to each other. Empty tables stay empty.
+    other. Repeated rows and rows without an id are shuffled by id, checksum of the text and size; equal ones stand next
+    to each other and are taken alike. Whole texts are counted, however long. Empty tables stay empty. Columns of docs
+    that bear the added names get `input_` before them.
+
+    Texts are never shuffled: what is taken of a source is the first part of its queue, so one row for each source
+    that says how far it goes decides for all documents where they stand.
     """
-    docs = docs.drop("size", "source_size", "target", "copies")
-    rows = docs.withColumn("__source", F.col(source_col).cast("string")).withColumn("size", n_words(F.col(text_col)))
-    keyed = written(
-        rows.select(
-            "__source", "size", F.col(id_col).cast("long").alias("__id"), F.crc32(F.col(text_col).cast("binary")).alias("__crc")
-        ).groupBy("__source", "size", "__id", "__crc").agg(F.count("*").alias("__rows"))
+    docs = clear_of(docs, ("size", "source_size", "target", "copies"))
+    text, id_ = F.col(text_col), F.col(id_col).cast("long")
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(source_col).cast("string").alias("__source"),
+        n_words(text).alias("size"), id_.alias("__id"), F.crc32(text.cast("binary")).alias("__crc"),
     )
+    # Rows without an id are shuffled by what else they hold, so that they don't all stand in one place.
+    order = F.when(F.col("__id").isNotNull(), hash60(F.col("__id"), F.lit(seed))).otherwise(hash60(F.col("__id"), F.lit(seed), F.col("__crc"), F.col("size")))
+    rows = rows.withColumn("__order", order)
+    keyed = written(rows.groupBy("__source", "size", "__order", "__id", "__crc").agg(F.count("*").alias("__rows")))
     sizes = written(keyed.groupBy(F.col("__source").alias("source")).agg(F.sum(F.col("size") * F.col("__rows")).cast("long").alias("source_size")))
     goal = written(targets(sizes, weights, share, most))
     buckets = max(1, math.ceil(keyed.count() / PER_BUCKET))
-    queue = keyed.where("size > 0").withColumn("__order", hash60(F.col("__id"), F.lit(seed)))
+    queue = keyed.where("size > 0")
     queue = queue.withColumn("__bucket", F.floor(F.col("__order") / F.lit((1 << 60) // buckets + 1)).cast("long"))
     queue = queue.withColumn("__words", F.col("size") * F.col("__rows"))
     queue = running_totals(queue, ["__source"], "__bucket", ["__order", "__id", "__crc", "size"], "__words", "__end")
@@ -94,18 +101,13 @@ def mixed(
     served = running_totals(
         queue, [], "__slice", ["__finish", "__source", "__nth", "__order", "__id", "__crc"], "__words", "__total"
     )
-    taken = (
-        served.where(F.col("__total") <= budget).groupBy("__source", "size", "__id", "__crc").agg(F.count("*").cast("int").alias("copies"))
-    )
-    taken = written(taken)
-    goal = goal.withColumnRenamed("source", "__goal")
-    names = {k: f"{k}_" for k in ("__source", "size", "__id", "__crc")}
-    for a, b in names.items():
-        taken = taken.withColumnRenamed(a, b)
-    rows = rows.withColumn("__id", F.col(id_col).cast("long")).withColumn("__crc", F.crc32(F.col(text_col).cast("binary")))
-    return (
-        rows.join(taken, [F.col(a).eqNullSafe(F.col(b)) for a, b in names.items()], "left")
-        .join(goal, F.col("__source").eqNullSafe(F.col("__goal")), "left")
-        .withColumn("copies", F.coalesce("copies", F.lit(0)))
-        .drop("__source", "__id", "__crc", "__goal", *names.values())
+    place = F.struct("__nth", "__order", "__id", "__crc", "size")
+    ends = served.where(F.col("__total") <= budget).groupBy(F.col("__source").alias("source")).agg(F.max(place).alias("end"))
+    goal = goal.join(written(ends).withColumnRenamed("source", "__ended"), F.col("source").eqNullSafe(F.col("__ended")), "left").drop("__ended")
+    goal = goal.select(F.struct("source", "source_size", "target", "end").alias("__goal"))
+    key = ("__order", "__id", "__crc", "size")
+    reached = F.struct(*key) <= F.struct(*(F.col(f"__goal.end.{c}").alias(c) for c in key))
+    copies = F.when(F.col("size") > 0, F.col("__goal.end.__nth") - F.when(reached, 0).otherwise(1))
+    return rows.join(small(goal, 100_000), F.col("__source").eqNullSafe(F.col("__goal.source")), "left").select(
+        "row.*", "size", "__goal.source_size", "__goal.target", F.coalesce(copies, F.lit(0)).cast("int").alias("copies")
     )

@@ -5,7 +5,10 @@ Sketches (Dahlgaard, Knudsen and Thorup, 2017): in round i every shingle is hash
 into bin j, so after at most 2t rounds every bin is filled; for long texts two or three rounds do. Two sketches agree
 in a bin with a probability equal to the similarity of the sets, and the bins are nearly independent.
 
-Bands of four bins then propose candidates, and every link is confirmed on the full shingle sets.
+Bands of four bins then propose candidates, and every link is confirmed on the full shingle sets. What the first links
+leave apart in a bucket is compared without loss: two sets that are similar enough share one of their rarest shingles,
+in places that leave room for enough others (prefix and position filters), and bitmaps of shingle parities bound their
+difference from below.
 """
 
 from __future__ import annotations
@@ -19,16 +22,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faintlight.llm.components import components
-from faintlight.llm.store import written
+from faintlight.llm.store import dropped, small, written
 from faintlight.llm.tokens import chunks, mix, shingle_sets
 
 BINS = 128
 BAND = 4
-TURNS = 1
-DEVIATIONS = 4.5
-#: Bins of the finer sketches that rule links out; one bit of each is kept, 64 bins to a column.
-FINE_BINS = 1024
-BITS = [f"bits{i}" for i in range(FINE_BINS // 64)]
+#: Cells of the bitmaps: a bit says whether an odd number of the set's shingles fall into the cell. 64 to a column.
+CELLS = 1024
+BITS = [f"bits{i}" for i in range(CELLS // 64)]
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -97,58 +98,82 @@ def _summaries(width: int):
     return task
 
 
+def parities(hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The bitmaps of n sets. Two bitmaps differ in at most as many bits as their sets differ in elements."""
+    cell = (mix(hashes + np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - int(math.log2(CELLS)))).astype(np.int64)
+    odd = np.bincount(rows * CELLS + cell, minlength=n * CELLS).reshape(n, CELLS) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+
+
 def _whole_sets(width: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in chunks(batch.column(0)):
                 sets = shingle_sets(texts, width)
                 sizes = np.array([len(s) for s in sets])
+                hashes = np.concatenate(sets)
+                bits = parities(hashes, np.repeat(np.arange(len(sets)), sizes), len(sets))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_keys(sets), pa.binary()), _ragged(_signed(np.concatenate(sets)), sizes)],
-                    names=["set_key", "hashes"],
+                    [pa.array(_keys(sets), pa.binary()), _ragged(_signed(hashes), sizes), *(pa.array(np.ascontiguousarray(b)) for b in bits.T)],
+                    names=["set_key", "hashes", *BITS],
                 )
 
     return task
 
 
-def _fine_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(set_key, BITS) from (set_key, hashes)."""
-    for batch in batches:
-        sizes = batch.column("hashes").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.append(0, np.cumsum(sizes))
-        hashes = batch.column("hashes").flatten().to_numpy().view(np.uint64)
-        first = 0
-        while first < len(sizes):
-            last = int(np.searchsorted(ends, ends[first] + (1 << 17), side="right")) - 1
-            last = min(max(last, first + 1), first + 1000, len(sizes))
-            rows = np.repeat(np.arange(last - first), sizes[first:last])
-            table = sketches(hashes[ends[first] : ends[last]], rows, last - first, FINE_BINS)
-            bits = np.packbits((table & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("set_key").slice(first, last - first), *(pa.array(np.ascontiguousarray(b)) for b in bits.T)],
-                names=["set_key", *BITS],
-            )
-            first = last
+def _fits(m: Column, n: Column, percent: int) -> Column:
+    """Whether sets of m and n elements can be similar enough."""
+    return 100 * F.least(m, n) >= percent * F.greatest(m, n)
+
+
+def _plausible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps don't rule out; none that is similar enough goes."""
+    side = lambda x: bits.select(F.col("set_key").alias(x), F.struct("n", *BITS).alias(f"of_{x}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
+    m, n = F.col("of_a.n"), F.col("of_b.n")
+    differing = sum((F.bit_count(F.col(f"of_a.{x}").bitwiseXOR(F.col(f"of_b.{x}"))) for x in BITS), F.lit(0))
+    return pairs.where(_fits(m, n, percent) & ((100 + percent) * (m + n - differing) >= 2 * percent * (m + n))).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union.
+    """The pairs (a, b), a written table, whose sets have 100 * intersection >= percent * union.
 
-    Sets travel to the smaller-degree side first; where many pairs share their a, its set is copied to a few salted
-    places so that no task gets all of them.
+    Where many pairs share their a, its set is copied to a few salted places so that no task gets all of them.
     """
     per_place = 256
     degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / per_place).cast("int").alias("places"))
     pairs = pairs.join(degree, "a").withColumn("place", F.pmod(F.xxhash64("b"), F.col("places")).cast("int"))
-    left = sets.withColumnRenamed("set_key", "a").withColumnRenamed("hashes", "a_hashes").join(degree, "a")
+    left = sets.select(F.col("set_key").alias("a"), F.col("hashes").alias("a_hashes")).join(small(degree), "a")
     left = left.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("places") - 1))).drop("places")
-    right = sets.withColumnRenamed("set_key", "b").withColumnRenamed("hashes", "b_hashes")
-    both = pairs.drop("places").join(right, "b").join(left, ["a", "place"])
+    right = sets.select(F.col("set_key").alias("b"), F.col("hashes").alias("b_hashes")).join(small(pairs.drop("places")), "b")
+    both = right.join(left, ["a", "place"])
     shared = F.size(F.array_intersect("a_hashes", "b_hashes"))
     union = F.size("a_hashes") + F.size("b_hashes") - shared
     return both.where(100 * shared >= percent * union).select("a", "b").distinct()
 
 
+def _prefixes(tokens: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
+    """The rows (set_key, token, place, n, label) with each set's rarest shingles that others have too.
+
+    Shingles stand in one order, the rarest first. Of sets that are similar enough each holds percent of the other, so
+    the first n - ceil(percent * n / 100) + 1 shingles of both have one in common. Shingles that no other set has come
+    first, and can be counted without being sent around.
+    """
+    often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    own = Window.partitionBy("set_key")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "token"))
+    rows = tokens.join(often, "token").join(open_, "set_key").withColumn("place", place)
+    return rows.where(100 * (F.col("n") - F.col("place") + 1) >= percent * F.col("n")).select("set_key", "token", "place", "n", "label")
+
+
+def _apart(x: str, y: str, percent: int) -> Column:
+    """Whether sets x and y that share a shingle in these places are in different groups and can be similar enough."""
+    field = lambda side, name: F.col(f"{side}.{name}")
+    m, n = field(x, "n"), field(y, "n")
+    room = 1 + F.least(m - field(x, "place"), n - field(y, "place"))
+    return (field(x, "label") != field(y, "label")) & _fits(m, n, percent) & ((100 + percent) * room >= percent * (m + n))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Groups of documents whose shingle sets are linked, directly or over others.
 
@@ -161,13 +186,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A row without an id has no component but is kept. Repeated rows are copies of each other and share an id, so all of
     them are kept; an id with several texts may stand in several components. Other columns are ignored.
 
-    Copies meet in one set first. Banded sketches then propose: each set with the one of its bucket that meets
-    most others over all buckets, as the original of many copies does; then each
-    set with one drawn for each bucket; and at last, for sets in one bucket that are still not connected, all with each
-    other, each pair in the first bucket that it shares. From the second step on finer sketches (FINE_BINS bins, a bit
-    of each) may rule a link out: the bound lies DEVIATIONS standard deviations off, so that of links not found before
-    at most 4 in a million are lost. A pair at 0.8 shares no bucket with a probability under 1e-7.
+    Copies meet in one set first. Banded sketches then propose: each set with the one of its buckets that meets most
+    others over all buckets, as the original of many copies does. Sets whose buckets still hold several groups after
+    that are searched without loss by their rarest shingles: first each with the most common of those it meets, then
+    all pairs that are still apart. A pair at 0.8 shares no bucket with a probability under 1e-7; nothing else is lost.
+
+    Very long texts are cut into bounded arrays of hashes one at a time. Tables in the shared folder that only this
+    function reads are deleted on the way.
     """
+    spark = docs.sparkSession
+    used: list[str] = []
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     source = source.withColumn("part", F.xxhash64("text"))
     summary = written(
@@ -175,87 +203,61 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             _summaries(width), "doc_id long, n_shingles long, set_key binary, bands array<long>, part long"
         )
     )
-    distinct = (
+    distinct = written(
         summary.where("set_key IS NOT NULL")
         .groupBy("set_key")
         .agg(
             F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.any_value("bands").alias("bands"),
             F.min(F.struct("doc_id", "part")).alias("sample"),
-        )
-    )
-    bucket = Window.partitionBy("band")
-    crowded = written(
-        distinct.select("set_key", "sample", "n", F.explode("bands").alias("band"))
-        .withColumn("members", F.count("*").over(bucket))
-        .where("members > 1")
-    )
-    hubs = crowded.groupBy("set_key").agg(F.sum("members").alias("met"))
-    centred = crowded.join(hubs, "set_key").withColumn("centre", F.max(F.struct("met", "set_key", "n")).over(bucket))
-    fits = lambda m, n: (100 * F.least(m, n) >= percent * F.greatest(m, n))
-    stars = (
-        centred.where(F.col("set_key") != F.col("centre.set_key"))
-        .where(fits(F.col("n"), F.col("centre.n")))
-        .select(F.col("centre.set_key").alias("a"), F.col("set_key").alias("b"))
-        .distinct()
-    )
-    stars = written(stars)
-    wanted = crowded.select(F.col("sample.doc_id").alias("wanted_id"), F.col("sample.part").alias("wanted_part")).distinct()
+        ),
+        used,
+    )
+    placed = distinct.select("set_key", "n", F.explode("bands").alias("band"))
+    shared = written(placed.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), used)
+    crowded = written(placed.join(small(shared), "band"), used)
+    keys = written(crowded.groupBy("set_key").agg(F.sum("members").alias("met")), used)
+    wanted = distinct.join(small(keys), "set_key", "left_semi")
+    wanted = written(wanted.select(F.col("sample.doc_id").alias("wanted_id"), F.col("sample.part").alias("wanted_part")), used)
     has = F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("part") == F.col("wanted_part"))
     sets = written(
-        source.join(wanted, has, "left_semi")
+        source.join(small(wanted), has, "left_semi")
         .select("text")
-        .mapInArrow(_whole_sets(width), "set_key binary, hashes array<long>")
-        .join(crowded.select("set_key").distinct(), "set_key", "left_semi")
+        .mapInArrow(_whole_sets(width), "set_key binary, hashes array<long>" + "".join(f", {b} long" for b in BITS))
         .groupBy("set_key")
-        .agg(F.any_value("hashes").alias("hashes"))
+        .agg(*(F.any_value(c).alias(c) for c in ["hashes", *BITS])),
+        used,
     )
-    first = written(_confirmed(stars, sets, percent))
-    odds = (1 - percent / 100) / 2
-    most = int(FINE_BINS * odds + DEVIATIONS * math.sqrt(FINE_BINS * odds * (1 - odds)))
-
-    def differing(x: Column, y: Column) -> Column:
-        """In how many bins the bits differ."""
-        return sum((F.bit_count(x[b].bitwiseXOR(y[b])) for b in BITS), F.lit(0))
-
-    possible = lambda x, y: (x["label"] != y["label"]) & fits(x["n"], y["n"]) & (differing(x, y) <= most)
-    ordered = lambda x, y: (F.least(x["set_key"], y["set_key"]).alias("a"), F.greatest(x["set_key"], y["set_key"]).alias("b"))
-
-    def unsettled(links: DataFrame) -> DataFrame:
-        """Members of buckets that hold several components so far."""
-        label = components(links).withColumnRenamed("node", "set_key")
-        rows = crowded.join(label, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
-        several = F.min("label").over(bucket) != F.max("label").over(bucket)
-        return rows.withColumn("several", several).where("several").select("band", "set_key", "label", "n")
-
-    open_ = written(unsettled(first))
-    bands = open_.groupBy("set_key").agg(F.collect_set("band").alias("bands"))
-    fine = sets.join(bands, "set_key", "left_semi").mapInArrow(_fine_bits, "set_key binary" + "".join(f", {b} long" for b in BITS))
-    fine = written(fine.join(bands, "set_key"))
-    links, tried = first, stars
-    for turn in range(TURNS):
-        member = F.struct("set_key", "label", "n", *BITS)
-        chance = F.xxhash64("x.set_key", "band", F.lit(turn))
-        rows = open_.join(fine, "set_key").select("band", member.alias("x"))
-        drawn = rows.withColumn("y", F.min(F.struct(chance.alias("h"), F.col("x").alias("x"))).over(bucket)["x"])
-        pairs = written(drawn.where(possible(F.col("x"), F.col("y"))).select(*ordered(F.col("x"), F.col("y"))).distinct())
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        links, tried = written(links.union(_confirmed(pairs, sets, percent))), tried.union(pairs)
-        open_ = written(unsettled(links))
-    member = F.struct("set_key", "label", "n", "bands", *BITS)
-    left = open_.join(fine, "set_key").select("band", member.alias("x"))
-    right = left.withColumnsRenamed({"x": "y", "band": "other_band"})
-    x, y = F.col("x"), F.col("y")
-    here = F.array_min(F.array_intersect(x["bands"], y["bands"])) == F.col("band")
-    meet = (F.col("band") == F.col("other_band")) & (x["set_key"] < y["set_key"])
-    rest = left.join(right, meet & possible(x, y) & here).select(*ordered(x, y))
-    rest = written(rest).join(tried, ["a", "b"], "left_anti")
-    links = written(links.union(_confirmed(rest, sets, percent)))
-    groups = components(links).withColumnRenamed("node", "set_key")
+    bits = sets.select("set_key", F.size("hashes").alias("n"), *BITS)
+    linked = lambda pairs: written(_confirmed(written(_plausible(pairs, bits, percent), used), sets, percent), used)
+
+    members = crowded.join(keys, "set_key")
+    centres = members.groupBy("band").agg(F.max(F.struct("met", "set_key", "n")).alias("centre"))
+    homes = members.join(centres, "band").where((F.col("set_key") != F.col("centre.set_key")) & _fits(F.col("n"), F.col("centre.n"), percent))
+    links = linked(homes.groupBy(F.col("set_key").alias("b")).agg(F.max("centre").alias("c")).select(F.col("c.set_key").alias("a"), "b"))
+
+    labels = components(links, used).withColumnRenamed("node", "set_key")
+    rows = crowded.join(labels, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
+    mixed = rows.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+    open_ = written(rows.join(mixed, "band").select("set_key", "n", "label").distinct(), used)
+    tokens = written(sets.join(small(open_), "set_key", "left_semi").select("set_key", F.explode("hashes").alias("token")), used)
+    prefixes = written(_prefixes(tokens, open_, percent), used)
+    common = prefixes.groupBy("token").agg(F.min(F.struct("place", "set_key", "n", "label")).alias("y"))
+    homes = prefixes.select("token", F.struct("place", "set_key", "n", "label").alias("x")).join(common, "token").where(_apart("x", "y", percent))
+    homes = homes.groupBy(F.col("x.set_key").alias("b")).agg(F.min("y").alias("y")).select(F.col("y.set_key").alias("a"), "b")
+    links = written(links.union(linked(homes)), used)
+
+    labels = components(links, used).withColumnRenamed("node", "set_key")
+    left = prefixes.drop("label").join(labels, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
+    left = left.select("token", F.struct("place", "set_key", "n", "label").alias("x"))
+    rest = left.join(left.withColumnRenamed("x", "y"), "token").where((F.col("x.set_key") < F.col("y.set_key")) & _apart("x", "y", percent))
+    links = written(links.union(linked(rest.select(F.col("x.set_key").alias("a"), F.col("y.set_key").alias("b")).distinct())).distinct(), used)
+
+    groups = components(links, used).withColumnRenamed("node", "set_key")
     degree = links.select(F.explode(F.array("a", "b")).alias("set_key")).groupBy("set_key").agg(F.count("*").alias("n_links"))
     ids = distinct.select("set_key", "doc_id").join(groups, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
-    ids = written(ids)
     smallest = ids.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     per_set = written(ids.join(smallest, "label").join(degree, "set_key", "left").select("set_key", "component_id", "n_links", "label"))
+    dropped(spark, used)
     return (
         summary.select("doc_id", "n_shingles", "set_key", "part")
         .join(per_set, "set_key", "left")

@@ -12,7 +12,7 @@ from faintlight.llm.chat import perspectives
 from faintlight.llm.decontamination import contaminated
 from faintlight.llm.mixing import mixed
 from faintlight.llm.neardup import near_duplicates
-from faintlight.llm.sharding import rendezvous, with_slots
+from faintlight.llm.sharding import hash60, rendezvous, with_slots
 from faintlight.llm.substrings import without_repeats
 from faintlight.llm.suffixes import without_repeated_bytes
 from faintlight.llm.topk import nearest
@@ -37,7 +37,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     placed = docs.withColumn("shard", rendezvous(F.col("doc_id"), {s: 1.0 for s in range(24)}))
     placed = placed.withColumn("grown_shard", rendezvous(F.col("doc_id"), {s: 1.0 for s in range(25)}))
-    slots = with_slots(placed, "shard", "doc_id")
+    slots = with_slots(placed, "shard", "doc_id", spread=hash60(F.col("doc_id"), F.col("text_crc32"), F.lit("slot")))
     return slots.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
@@ -107,6 +107,22 @@ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached),
 c AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
 SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)""",
+    "op2_sharding": """
+WITH RECURSIVE steps AS (SELECT i AS c, i, 0 AS k FROM range(256) t(i)
+    UNION ALL SELECT CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i, k + 1 FROM steps WHERE k < 8),
+m AS (SELECT list(c ORDER BY i) AS m FROM steps WHERE k = 8),
+x AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS k, hex(encode(text)) AS h FROM documents),
+y AS (SELECT doc_id, k, h, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS b FROM x),
+d AS (SELECT doc_id, k, coalesce(length(h) // 2, 0)::BIGINT + 8 AS size,
+    xor(list_reduce(b, lambda c, v: xor(c >> 8, m[(xor(c, v) & 255) + 1]), 4294967295), 4294967295)::BIGINT AS text_crc32 FROM y, m),
+u AS (SELECT k, s::INTEGER AS s, (('0x' || substr(md5(k || ':' || s), 1, 15))::BIGINT::DOUBLE + 1.0::DOUBLE) / 1152921504606846978.0::DOUBLE AS u
+    FROM (SELECT DISTINCT k FROM d), range(25) t(s)),
+r AS (SELECT k, first(s ORDER BY -1.0::DOUBLE / ln(u) DESC, s) FILTER (WHERE s < 24) AS shard, first(s ORDER BY -1.0::DOUBLE / ln(u) DESC, s) AS grown_shard FROM u GROUP BY k),
+p AS (SELECT doc_id, size, text_crc32, shard, grown_shard,
+    (('0x' || substr(md5(k || ':' || coalesce(text_crc32::VARCHAR, 'null') || ':slot'), 1, 15))::BIGINT >> 48) % least(4096, ceil((SELECT count(*) FROM d) / 50000.0)::BIGINT) AS bucket
+    FROM d JOIN r USING (k))
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+    row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, size, text_crc32 NULLS FIRST) - 1 AS slot FROM p""",
     "op3_mixing": """
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faintlight.llm.store import written
+from faintlight.llm.store import clear_of, written
 
 _SPACE = 1 << 60
 
@@ -40,34 +40,41 @@ def rendezvous(key: Column, weights: Mapping[int, float]) -> Column:
     return (-best["minus_shard"]).cast("int")
 
 
-def with_slots(frame: DataFrame, shard: str, key: str, per_bucket: int = 50_000) -> DataFrame:
+def with_slots(frame: DataFrame, shard: str, key: str, spread: Column | None = None, slot: str = "slot", per_bucket: int = 50_000) -> DataFrame:
     """Adds `slot`: places 0, 1, 2 ... within each shard without gaps.
 
-    A shard may hold more rows than one task can sort, so rows are counted in hashed buckets of about `per_bucket` rows;
-    a bucket's places start where the buckets before it end. Within a bucket rows are in order of the key and then of
-    all their other columns, so places only depend on the rows.
+    A shard may hold more rows than one task can sort, so rows are counted in buckets of about `per_bucket` rows; a
+    bucket's places start where the buckets before it end. Buckets come from `spread`, a long (a hash of all columns
+    but maps, unless given), so that rows of one key lie in many buckets; rows that are wholly alike share one. Within a
+    bucket rows are in order of the key and then of all their other columns, so places only depend on the rows.
+
+    The frame is read twice, once for the counts, and its rows are shuffled once. Null keys come first; an empty frame
+    stays empty. A column `slot` of the frame is replaced; other names of columns don't matter.
     """
-    rest = [c for c, kind in frame.dtypes if c not in (shard, key) and not kind.startswith("map")]
-    frame = written(frame)
-    buckets = max(1, math.ceil(frame.count() / per_bucket))
-    frame = frame.withColumn("__bucket", F.pmod(hash60(F.col(key), F.lit("slot")), F.lit(buckets)))
-    counts = frame.groupBy(F.col(shard).alias("__shard"), F.col("__bucket").alias("__b")).agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("__shard").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = written(counts.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n"))
-    place = F.row_number().over(Window.partitionBy(shard, "__bucket").orderBy(key, *rest))
-    joined = frame.withColumn("__place", place).join(
-        counts, F.col(shard).eqNullSafe(F.col("__shard")) & (F.col("__bucket") == F.col("__b"))
-    )
-    return joined.withColumn("slot", (F.col("__offset") + F.col("__place") - 1).cast("long")).drop(
-        "__bucket", "__place", "__shard", "__b", "__offset"
-    )
+    frame = frame.drop(slot)
+    rest = [F.col(f"`{c}`") for c, kind in frame.dtypes if c not in (shard, key) and "map<" not in kind]
+    spread = F.xxhash64(F.col(key), *rest) if spread is None else spread
+    rows = frame.select(F.struct(*(F.col(f"`{c}`") for c in frame.columns)).alias("row"), F.col(shard).alias("shard"), spread.alias("spread"))
+    counted = written(rows.groupBy("shard", F.floor(F.col("spread") / (1 << 48)).alias("part")).agg(F.count("*").alias("n")))
+    buckets = max(1, math.ceil((counted.agg(F.sum("n")).first()[0] or 0) / per_bucket))
+    # Of either sign, and so many at most as there are parts of the range of `spread`.
+    bucket = lambda part: F.pmod(part, F.lit(min(buckets, 4096)))
+    before = Window.partitionBy("in_shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counted.groupBy(F.col("shard").alias("in_shard"), bucket(F.col("part")).alias("bucket")).agg(F.sum("n").alias("n"))
+    offsets = counts.select("in_shard", F.col("bucket").alias("in_bucket"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    rows = rows.withColumn("bucket", bucket(F.floor(F.col("spread") / (1 << 48))))
+    order = [F.col("row")[key], *(F.col("row")[c] for c, kind in frame.dtypes if c not in (shard, key) and "map<" not in kind)]
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("shard", "bucket").orderBy(*order)))
+    joined = rows.join(F.broadcast(offsets), F.col("shard").eqNullSafe(F.col("in_shard")) & (F.col("bucket") == F.col("in_bucket")))
+    return joined.select("row.*", (F.col("offset") + F.col("place") - 1).cast("long").alias(slot))
 
 
 def sharded(docs: DataFrame, weights: Mapping[int, float], id_col: str = "doc_id") -> DataFrame:
     """All rows and columns of docs with `shard` (by rendezvous hashing of the id) and `slot` (gapless in each shard).
 
-    Columns of docs that bear these names are replaced. The shard depends on id and weights alone: equal ids, null ids
-    among them, go together. An empty table stays empty; repeated rows have slots of their own; texts play no part.
+    Columns of docs that bear these names get `input_` before them. The shard depends on id and
+    weights alone: equal ids, null ids among them, go together. An empty table stays empty; repeated rows have slots of
+    their own, in no special order among each other; texts of any length, empty or null, only play a part in the order.
     """
-    docs = docs.drop("shard", "slot")
+    docs = clear_of(docs, ("shard", "slot"))
     return with_slots(docs.withColumn("shard", rendezvous(F.col(id_col), weights)), "shard", id_col)
