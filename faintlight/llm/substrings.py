@@ -68,9 +68,10 @@ def without_repeats(
 ) -> DataFrame:
     """Texts without the words covered by a window that also starts in a document with a smaller id.
 
-    First pass: every partition counts the anchor grams of its windows in a count-min sketch of `depth` rows with
-    `width` cells, kept sparse; Spark adds the sketches up cell by cell. A cell never counts too little, so grams in
-    cells of count 1 occur once and with them all their windows. Second pass: only runs whose cells all count two or
+    First pass: every partition counts its windows in a count-min sketch of `depth` rows with `width` cells, kept sparse;
+    Spark adds the sketches up cell by cell. A window's cell is a hash of its anchor gram, which its own content chooses,
+    and neighbouring windows with one anchor are counted in one go: such a run holds a window once at most, so a window
+    that stands n times is counted n times at least, and cells of count 1 hold no repeated window. Second pass: only runs whose cells all count two or
     more are grouped exactly, first by content, then, where contents differ, window by window. Width bounds nothing
     but the share of grams let through in vain (one in several hundred at 10 million grams).
 
@@ -88,7 +89,7 @@ def without_repeats(
     for r in range(depth):
         found = found.join(crowded.withColumnRenamed("cell", f"cell{r}"), f"cell{r}", "left_semi").drop(f"cell{r}")
     earlier = lambda first, own: first["doc_id"] < own["doc_id"]
-    runs = written(repeats.judged(found, earlier))
+    runs = written(repeats.judged_apart(written(found), earlier))
     packed = repeats.packed(texts)
     single = repeats.repeated_windows(repeats.windows(runs.where("NOT covered"), packed, "word", window), earlier)
     spans = repeats.spans_of(runs.where("covered"), single, window)
