@@ -24,7 +24,7 @@ SAMPLE_DOCS = 2000
 SAMPLE_WORDS = 6000
 ROUNDS = 3
 LONGEST = 16
-CACHE = 400_000
+CACHE = 150_000
 SLICE_ROWS = 256
 UNKNOWN = "und"
 

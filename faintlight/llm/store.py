@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Sides of joins with at most so many short rows are sent to every executor; longer ones are shuffled.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 250_000
 
 
 def shared_folder(spark: SparkSession) -> str:
