@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_NAME = r"J(\d{2})(\d{2})(\d{2}(?:\.\d+)?)([+-])(\d{2})(\d{2})(\d{2}(?:\.\d+)?)"
+_NAME = r"^CSS_J(\d{2})(\d{2})(\d{2}(?:\.\d+)?)([+-])(\d{2})(\d{2})(\d{2}(?:\.\d+)?)"
 
 
 def position(designation: Column) -> tuple[Column, Column]:
-    """Right ascension and declination in degrees from names with Jhhmmss.s+ddmmss; null for other names."""
+    """Right ascension and declination in degrees from names that begin with CSS_Jhhmmss.s+ddmmss; null for others."""
     part = lambda i: F.regexp_extract(designation, _NAME, i).try_cast("double")
     sign = F.when(F.regexp_extract(designation, _NAME, 4) == "-", -1.0).otherwise(1.0)
     return (part(1) + part(2) / 60 + part(3) / 3600) * 15, sign * (part(5) + part(6) / 60 + part(7) / 3600)

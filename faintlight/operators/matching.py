@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faintlight.operators import neighbours
+from faintlight.operators.tables import set_checkpoints
 
 
 def close_pairs(pairs: DataFrame, factor: float = 1.5) -> DataFrame:
@@ -14,11 +15,6 @@ def close_pairs(pairs: DataFrame, factor: float = 1.5) -> DataFrame:
     return pairs.join(F.broadcast(quartile), F.col("distance") <= factor * F.col("__q")).drop("__q")
 
 
-def set_checkpoints(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-
-
 def greedy_match(pairs: DataFrame) -> DataFrame:
     """(id, neighbour, distance): what taking pairs by rising distance gives when each id and neighbour is used once.
 

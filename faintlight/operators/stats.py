@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,30 @@ def heavy_tails(described: DataFrame, limit: float = 50.0) -> DataFrame:
     return described.where(iqr > 0).withColumn("tail_ratio", (F.col("max") - F.col("min")) / iqr).withColumn("heavy", F.col("tail_ratio") > limit)
 
 
+RANKED_PER_TASK = 1_000_000
+
+
+def ranked(rows: DataFrame, value: str, name: str = "rank", descending: bool = False, average: bool = False, per_task: int = RANKED_PER_TASK) -> DataFrame:
+    """Adds the rank from 1 over the whole table; ties share the first rank, or their mean rank with average=True.
+
+    Values are cut into ranges of about per_task rows at approximate quantiles, rows are ranked in their range, and a
+    range's ranks start where the ranges before it end; so no task sorts the table. Equal values are in one range.
+    Null values come first, or last if descending.
+    """
+    n_ranges = max(1, math.ceil(rows.count() / per_task))
+    bounds = rows.approxQuantile(value, [i / n_ranges for i in range(1, n_ranges)], 0.1 / n_ranges) if n_ranges > 1 else []
+    at = sum((F.when(F.col(value) >= b, 1).otherwise(0) for b in sorted(set(bounds))), F.lit(0))
+    rows = rows.withColumn("__range", -at if descending else at)
+    before = Window.orderBy("__in").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(F.col("__range").alias("__in")).agg(F.count("*").alias("__n"))
+    offsets = sizes.select("__in", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    order = F.desc(value) if descending else F.asc(value)
+    place = F.col("__offset") + F.rank().over(Window.partitionBy("__range").orderBy(order))
+    if average:
+        place = place + (F.count("*").over(Window.partitionBy("__range", value)) - 1) / 2
+    return rows.join(F.broadcast(offsets), F.col("__range") == F.col("__in")).withColumn(name, place).drop("__range", "__in", "__offset")
+
+
 def average_rank(value: str, within: list[str] = ()) -> Column:
     """Rank from 1 with ties sharing their mean rank."""
     ties = F.count("*").over(Window.partitionBy(*within, value))
@@ -39,16 +65,16 @@ def percentile_rank(value: str, within: list[str] = ()) -> Column:
 
 def roc_auc(rows: DataFrame, score: str, label: str, within: list[str] = ()) -> DataFrame:
     """Area under the ROC curve of score for label 1 against 0, by average ranks (Mann and Whitney)."""
-    ranked = rows.withColumn("__r", average_rank(score, list(within)))
+    ordered = rows.withColumn("__r", average_rank(score, list(within))) if within else ranked(rows, score, "__r", average=True)
     pos, neg = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
     auc = (F.sum(F.when(F.col(label) == 1, F.col("__r"))) - pos * (pos + 1) / 2) / (pos * neg)
-    return ranked.groupBy(*within).agg(auc.alias("auc"), pos.alias("n_pos"), neg.alias("n_neg"))
+    return ordered.groupBy(*within).agg(auc.alias("auc"), pos.alias("n_pos"), neg.alias("n_neg"))
 
 
 def kruskal_wallis(rows: DataFrame, group: str, value: str) -> DataFrame:
     """The H statistic with correction for ties."""
-    ranked = rows.select(group, value).withColumn("__r", average_rank(value))
-    n = ranked.groupBy(group).agg(F.sum("__r").alias("r"), F.count("*").alias("n"))
+    ordered = ranked(rows.select(group, value), value, "__r", average=True)
+    n = ordered.groupBy(group).agg(F.sum("__r").alias("r"), F.count("*").alias("n"))
     sums = n.agg(F.sum(F.col("r") ** 2 / F.col("n")).alias("s"), F.sum("n").alias("n"), F.count("*").alias("n_groups"))
     ties = rows.groupBy(value).agg(F.count("*").cast("double").alias("t")).agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
     total = F.col("n").cast("double")
@@ -84,10 +110,13 @@ def class_metrics(rows: DataFrame, truth: str, guess: str) -> DataFrame:
 
 def standard_scaled(frame: DataFrame, columns: list[str], fit: Column | None = None, within: list[str] = ()) -> DataFrame:
     """The columns less their mean, over their population deviation (1 if that is 0), both taken where `fit` holds."""
-    w = Window.partitionBy(*within)
     pick = lambda c: F.when(fit, F.col(c)) if fit is not None else F.col(c)
-    spread = lambda c: F.stddev_pop(pick(c)).over(w)
-    return frame.withColumns({c: (F.col(c) - F.avg(pick(c)).over(w)) / F.when(spread(c) > 0, spread(c)).otherwise(1.0) for c in columns})
+    moments = [f(pick(c)).alias(f"__{name}_{c}") for c in columns for name, f in (("mean", F.avg), ("dev", F.stddev_pop))]
+    found = frame.groupBy(*(F.col(k).alias(f"__of_{k}") for k in within)).agg(*moments)
+    same = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in within]
+    joined = frame.join(found, same) if within else frame.join(F.broadcast(found))
+    scale = lambda c: F.when(F.col(f"__dev_{c}") > 0, F.col(f"__dev_{c}")).otherwise(1.0)
+    return joined.withColumns({c: (F.col(c) - F.col(f"__mean_{c}")) / scale(c) for c in columns}).select(*frame.columns)
 
 
 def robust_scaled(frame: DataFrame, columns: list[str]) -> DataFrame:

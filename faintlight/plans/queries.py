@@ -348,7 +348,7 @@ def robust_scale(spark, sf_dir):
 def rank_top_fraction(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     n = max(int(o.count() * 0.02), 1)
-    return o.select("o_orderkey", F.rank().over(Window.orderBy(F.desc("o_totalprice"))).cast("long").alias("rank")).where(F.col("rank") <= n)
+    return stats.ranked(o.select("o_orderkey", "o_totalprice"), "o_totalprice", descending=True).where(F.col("rank") <= n).select("o_orderkey", F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT doc_id, round((rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY lang) * 100, 6) AS percentile FROM documents")
@@ -358,7 +358,8 @@ def pct_rank_in_class(spark, sf_dir):
 
 @query("SELECT event_id, round((rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0::DOUBLE) / count(*) OVER () * 100, 6) AS percentile FROM events")
 def pct_rank_global(spark, sf_dir):
-    return rounded(table(spark, sf_dir, "events").select("event_id", stats.percentile_rank("value").alias("percentile")))
+    e = table(spark, sf_dir, "events").select("event_id", "value")
+    return rounded(stats.ranked(e, "value", "r", average=True).select("event_id", (F.col("r") / e.count() * 100).alias("percentile")))
 
 
 @query("SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY md5(p_partkey::VARCHAR || '42'), p_partkey) <= round(count(*) OVER (PARTITION BY p_brand) * 0.8) AS is_train FROM part")
