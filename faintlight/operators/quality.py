@@ -47,3 +47,25 @@ def without_leaks(train: DataFrame, test: DataFrame, on: list[str]) -> DataFrame
     for c in on:
         test = test.join(train.select(c).distinct(), c, "left_anti")
     return test
+
+
+def repeats(rows: DataFrame, column: str) -> DataFrame:
+    """How many rows there are, how many different values, and how many rows repeat one."""
+    return rows.agg(F.count(column).alias("n"), F.count_distinct(column).alias("n_distinct"), (F.count(column) - F.count_distinct(column)).alias("n_repeated"))
+
+
+def repeated_ids(rows: DataFrame, key: str, content: list[str]) -> DataFrame:
+    """Ids with several rows: how many, how many different contents, and whether they are all the same."""
+    found = rows.groupBy(key).agg(F.count("*").alias("n"), F.count_distinct(F.struct(*content)).alias("n_contents")).where("n > 1")
+    return found.withColumn("identical", F.col("n_contents") == 1)
+
+
+def unique_with_first(rows: DataFrame, keys: list[str], index: str) -> DataFrame:
+    """Each different key with the smallest index at which it stands, and how often it does."""
+    return rows.groupBy(*keys).agg(F.min(index).alias("first"), F.count("*").alias("n"))
+
+
+def disjoint(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """How many different keys two frames share, and whether that is none."""
+    shared = a.select(key).distinct().join(b.select(key), key, "left_semi").agg(F.count("*").alias("n_shared"))
+    return shared.withColumn("disjoint", F.col("n_shared") == 0)

@@ -149,3 +149,29 @@ def group_folds(frame: DataFrame, group: str, k: int = 5, seed: str = "42") -> D
     groups = frame.select(group).distinct()
     fold = (F.row_number().over(Window.orderBy(hash_order(F.col(group), seed), group)) - 1) % k
     return frame.join(groups.withColumn("fold", fold.cast("int")), group)
+
+
+def run_summary(rows: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
+    """How a metric spreads over several runs: their number, mean, deviation and extremes."""
+    return rows.groupBy(*by).agg(F.count(value).alias("runs"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+
+
+def histogram(rows: DataFrame, column: str) -> DataFrame:
+    """(column, n, percent) of each value; nulls are a value."""
+    counts = rows.groupBy(column).agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(counts.agg(F.sum("n").alias("__all")))).withColumn("percent", 100.0 * F.col("n") / F.col("__all")).drop("__all")
+
+
+def differences(pairs: DataFrame, a: Column, b: Column, least: float = 1e-9) -> DataFrame:
+    """Mean, median and largest of |a - b|, and how many are above `least`; pairs with nulls don't count."""
+    d = pairs.select(F.abs(a - b).alias("d")).where("d IS NOT NULL")
+    more = F.count_if(F.col("d") > least)
+    return d.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.percentile("d", F.lit(0.5)).alias("median"), F.max("d").alias("max"), more.alias("n_differ"), (100.0 * more / F.count("*")).alias("percent_differ"))
+
+
+def bucket(value: Column, limits: list[float], names: list[str]) -> Column:
+    """The name of the range that holds the value: below the first limit, then between limits, then from the last on."""
+    found = F.lit(names[-1])
+    for limit, name in reversed(list(zip(limits, names, strict=False))):
+        found = F.when(value < limit, name).otherwise(found)
+    return F.when(value.isNotNull(), found)

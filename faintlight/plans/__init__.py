@@ -1 +1,4 @@
+"""Registered queries; importing this registers all of them."""
 
+from faintlight.plans import more as more
+from faintlight.plans import queries as queries
