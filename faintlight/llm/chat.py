@@ -14,10 +14,15 @@ END = "<|end|>\n"
 
 
 def clean(text: Column) -> Column:
-    """The text without strings that could be taken for markers."""
+    """The text without strings that could be taken for the start of a marker."""
     return F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("<|"), F.lit("< |"))
 
 
+def clean_name(name: Column) -> Column:
+    """The name without line breaks and without strings that could be taken for either end of a marker."""
+    return F.replace(F.replace(F.regexp_replace(name.cast("string"), r"[\r\n]+", " "), F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >"))
+
+
 def perspectives(
     turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
     system_roles: tuple[str, ...] = SYSTEM, per_part: int = PER_PART,
@@ -31,8 +36,8 @@ def perspectives(
 
     Turns stand in order of turn (null first), role and text; repeated turns are all kept. A null text is empty, a null
     role is the unnamed user "?", which has no perspective. Turns without a conversation belong to no dialogue and
-    are left out, as are dialogues in which nobody but the system speaks. "<|" in texts and names becomes "< |", so
-    that no text can pose as a marker. Other columns are ignored.
+    are left out, as are dialogues in which nobody but the system speaks. "<|" in texts and names becomes "< |", and in
+    names "|>" becomes "| >" and a line break a blank, so that nothing can pose as a marker. Other columns are ignored.
     """
     rows = turns.where(F.col(conv_col).isNotNull()).select(
         F.col(conv_col).alias("conv_id"),
@@ -59,7 +64,7 @@ def perspectives(
         head = (
             F.when(own, F.lit("<|assistant|>\n"))
             .when(t["role"].isin(*system_roles), F.lit("<|system|>\n"))
-            .otherwise(F.concat(F.lit("<|user:"), F.coalesce(clean(t["role"]), F.lit("?")), F.lit("|>\n")))
+            .otherwise(F.concat(F.lit("<|user:"), F.coalesce(clean_name(t["role"]), F.lit("?")), F.lit("|>\n")))
         )
         body = F.concat(t["text"], F.lit(END))
         return F.struct(own.alias("own"), head.alias("head"), body.alias("body"))

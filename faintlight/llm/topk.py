@@ -78,9 +78,12 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 
 
 def whole_steps(vector: Column, steps: int) -> Column:
-    """floor(steps * x) of each component; null where the vector or a component is null, NaN or infinite."""
+    """floor(steps * x) of each component; null where the vector or a component is null, NaN or infinite, or so large
+    (above about 10^6 for 64 dimensions and 256 steps) that an inner product might not fit a long."""
     doubles = vector.cast("array<double>")
-    sound = F.forall(doubles, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    # Beyond this bound a sum of products might not fit a long.
+    most = F.sqrt(F.lit(float(1 << 62)) / F.greatest(F.size(doubles), F.lit(1)))
+    sound = F.forall(doubles, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) * steps + 1 < most))
     return F.when(sound, F.transform(doubles, lambda x: F.floor(x * steps).cast("long")))
 
 
@@ -90,8 +93,8 @@ def nearest(
     """The k rows with the largest inner product for each query: (query_id, rank, vec_id, score).
 
     Components are floor(steps * x). Candidates are all rows with another id and as many components; ties go to the
-    smaller id; fewer candidates give fewer rows. Vectors that are null or hold null or non-finite components, and rows
-    without an id, take no part. A row repeated as a whole counts once; an id with several vectors is several
+    smaller id; fewer candidates give fewer rows. Vectors that are null or hold null, non-finite or too large components (see
+    whole_steps()), and rows without an id, take no part. A row repeated as a whole counts once; an id with several vectors is several
     candidates and several queries, whose results merge. Other columns are ignored.
 
     Of identical vectors only the k + 1 smallest ids can be among anybody's k best others, so copies go first. The
