@@ -21,6 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from faintlight.llm.store import written
 from faintlight.llm.tokens import BYTE_CODES, Texts, anchors, chunks, mix, prefix_sums, span_hash
 
 RUNS = "doc_id long, part int, low int, high int, gram long, run long"
@@ -227,9 +228,11 @@ def judged(found: DataFrame, earlier: Callable) -> DataFrame:
 def judged_apart(found: DataFrame, earlier: Callable) -> DataFrame:
     """What judged() gives, from a written table of runs of which few are left.
 
-    Contents are summed up before they are sent to their gram, so that no task gets all runs of a very common gram."""
+    Contents are summed up before they are sent to their gram, and the sums are tables of their own, so that Spark can
+    split the joins where a gram is very common."""
     contents = found.groupBy("gram", "run").agg(F.min(F.struct("doc_id", "part", "low")).alias("first"), F.count("*").alias("times"))
-    grams = contents.groupBy("gram").agg(F.sum("times").alias("times"), (F.min("run") < F.max("run")).alias("several")).where("times > 1")
+    contents = written(contents)
+    grams = written(contents.groupBy("gram").agg(F.sum("times").alias("times"), (F.min("run") < F.max("run")).alias("several")).where("times > 1").drop("times"))
     return (
         found.join(contents.select("gram", "run", "first"), ["gram", "run"])
         .join(grams, "gram")
