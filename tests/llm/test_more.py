@@ -185,3 +185,32 @@ def test_substrings_of_empty_and_very_long_texts(spark):
     rows = [(1, long), (2, "x " + long), (3, ""), (4, None)]
     got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), digest=True).collect()}
     assert got == {1: (30_000, 0), 2: (30_001, 30_000), 3: (0, 0), 4: (0, 0)}
+
+
+def test_threshold_search_leaves_out_what_is_under_the_floor():
+    rows = np.array([[5, 1], [4, 4], [1, 5], [3, 3]])
+    search = lambda floor: [x.tolist() for x in next(topk.threshold_search(np.array([[1, 1]]), np.array([-1]), rows, np.arange(4), 3, np.array([floor])))[1:]]
+    assert search(6) == [[1, 0, 2], [8, 6, 6]]
+    assert search(7) == [[1], [8]]
+    assert search(11) == [[], []]  # the best components add up to 10: nothing is read
+
+
+def test_nearest_over_many_blocks_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 50)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(5)
+    v = rng.integers(-4, 5, (400, 6)) * rng.integers(1, 9, (400, 1))
+    v[30:90] = v[30]
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(7, [float(x) for x in v[8]]), (9, None), (None, [1.0] * 6), (500, [2.0, 3.0])]
+    got = topk.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, k=4, steps=1).collect()
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got)
+    want = []
+    whole = [(i, np.array(x, dtype=np.int64)) for i, x in rows if i is not None and x is not None]
+    for q in range(0, 400, 10):
+        best = {}
+        for i, x in whole:
+            if i != q and len(x) == 6:
+                best[i] = max(best.get(i, topk.LEAST), int(x @ v[q]))
+        top = sorted(best.items(), key=lambda item: (-item[1], item[0]))[:4]
+        want += [(q, r, i, s) for r, (i, s) in enumerate(top, 1)]
+    assert found == want
