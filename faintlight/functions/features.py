@@ -20,8 +20,8 @@ def by_curve(keys: list[str]):
 
 
 def in_time(keys: list[str]):
-    """Order of time; ties by magnitude and error, so that equal times give equal results."""
-    return Window.partitionBy(*keys).orderBy("t", "m", "e")
+    """Order of time; equal times in the order of storage (src_idx), and where the source has none by magnitude and error."""
+    return Window.partitionBy(*keys).orderBy("t", "src_idx", "m", "e")
 
 
 def guarded(value: Column, when: Column) -> Column:
@@ -116,8 +116,10 @@ def pack_weighted(points: DataFrame, keys: list[str] = CURVE) -> DataFrame:
 
 
 def fourier_moments(points: DataFrame, period: Column, harmonics: int = 3, keys: list[str] = CURVE) -> DataFrame:
-    """Sums for the least-squares fit of `harmonics` sines to the phase-folded curve: one array `xtx` and one `xty`."""
+    """Sums for the least-squares fit of `harmonics` sines to the phase-folded curve, of magnitudes less their mean: one
+    array `xtx` and one `xty`."""
     p = clean(points).withColumn("__p", period).where(F.col("__p") > 0)
+    p = p.withColumn("m", F.col("m") - F.avg("m").over(by_curve(keys)))
     turn = 2 * F.pi() * F.pmod((F.col("t") - F.min("t").over(by_curve(keys))) / F.col("__p"), F.lit(1.0))
     p = p.withColumn("__x", F.array(F.lit(1.0), *(f(k * turn) for k in range(1, harmonics + 1) for f in (F.cos, F.sin))))
     size = 2 * harmonics + 1

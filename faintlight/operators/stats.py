@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +91,35 @@ def kolmogorov_smirnov(rows: DataFrame, group: str, value: str, a: str, b: str)
     return counts.withColumn("d", F.abs(share("a") - share("b"))).agg(F.max("d").alias("ks"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
 
 
+def chi2_tail(value: Column, freedom: Column) -> Column:
+    """The probability of a larger chi-square value with so many degrees of freedom; null for nulls or none."""
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series, df: pd.Series) -> pd.Series:
+        def one(x: float, df: float) -> float | None:
+            if not (x >= 0 and df > 0):
+                return None
+            half, a = x / 2, 1.0 if df % 2 == 0 else 0.5
+            total = math.exp(-half) if df % 2 == 0 else math.erfc(math.sqrt(half))
+            while a < df / 2:  # raises the degrees of freedom by two
+                total += math.exp(a * math.log(half) - half - math.lgamma(a + 1)) if half else 0.0
+                a += 1
+            return min(total, 1.0)
+
+        return pd.Series([one(*pair) for pair in zip(x, df, strict=True)], dtype="float64")
+
+    return tail(value.cast("double"), freedom.cast("double"))
+
+
+def kolmogorov_tail(distance: Column, n_a: Column, n_b: Column, terms: int = 100) -> Column:
+    """The asymptotic probability of a larger distance between two samples of one distribution."""
+    scaled = distance * F.sqrt(n_a.cast("double") * n_b / (n_a + n_b))
+    term = lambda i: F.when(i % 2 == 1, 1.0).otherwise(-1.0) * F.exp(F.lit(-2.0) * i * i * scaled * scaled)
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda x, i: x + term(i))
+    # The series needs ever more terms near 0, where the probability is 1 to many places.
+    return F.when(scaled < 0.2, 1.0).otherwise(F.least(F.lit(1.0), 2 * total))
+
+
 def recall_at_fpr(rows: DataFrame, score: str, label: str, rates: tuple[float, ...] = (0.01, 0.02, 0.05, 0.10, 0.20)) -> DataFrame:
     """For each rate the score that so many of label 0 exceed, the rate reached, and the recall of label 1 (score >= threshold)."""
     q = rows.where(F.col(label) == 0).agg(F.percentile(score, F.array(*(F.lit(1 - r) for r in rates))).alias("q"))
