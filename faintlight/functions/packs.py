@@ -11,7 +11,7 @@ TINY = 1e-12
 
 
 def _steps(points: DataFrame, keys: list[str]) -> DataFrame:
-    time = Window.partitionBy(*keys).orderBy("t", "m", "e")
+    time = Window.partitionBy(*keys).orderBy("t", "src_idx", "m", "e")
     p = clean(points).withColumn("__dm", F.col("m") - F.lag("m").over(time)).withColumn("__dt", F.col("t") - F.lag("t").over(time))
     return p.withColumn("__median", F.percentile("m", F.lit(0.5)).over(Window.partitionBy(*keys)))
 
@@ -48,7 +48,7 @@ def strict_pack(points: DataFrame, keys: list[str]) -> DataFrame:
 def concatenated_pack(points: DataFrame, keys: list[str]) -> DataFrame:
     """Statistics of all points of an object, its bands one after the other in order of name, with weighted mean,
     absolute changes and steps, and ratios that don't depend on the scale."""
-    order = Window.partitionBy(*keys).orderBy("banda", "t", "m", "e")
+    order = Window.partitionBy(*keys).orderBy("banda", "t", "src_idx", "m", "e")
     p = clean(points).withColumn("__dm", F.abs(F.col("m") - F.lag("m").over(order)))
     weight = 1 / F.greatest(F.abs(F.col("e")), F.lit(1e-6)) ** 2
     p25, median, p75 = _q("m", 0.25, 0.5, 0.75)

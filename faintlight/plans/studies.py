@@ -48,22 +48,13 @@ def fourier_moments(spark, sf_dir):
     return found
 
 
-@query()
-def per_class_detect(spark, sf_dir):
-    return detect.detect_per_class(*_part_features(spark, sf_dir), features.CORE)
-
-
 @query()
 def self_detect(spark, sf_dir):
-    return detect.detect_self(features.core_features(lc_lineitem(spark, sf_dir), ["id_objeto"]).withColumnRenamed("id_objeto", "id"), features.CORE)
+    objects = features.core_features(lc_lineitem(spark, sf_dir), ["id_objeto"]).withColumn("id", F.col("id_objeto").cast("long"))
+    return detect.detect_self(objects, features.CORE)
 
 
 @query()
 def feature_ablation(spark, sf_dir):
     train, test = (x.select("id", "clase", *features.CORE) for x in _part_features(spark, sf_dir))
     return experiments.compared(train, test, experiments.leaving_out(GROUPS), partial(models.logistic_control, steps=100))
-
-
-@query()
-def feature_importances(spark, sf_dir):
-    return experiments.importances(_part_features(spark, sf_dir)[0].select("id", "clase", *features.CORE), features.CORE, depth=12)
