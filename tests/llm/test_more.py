@@ -123,6 +123,7 @@ def test_forward_pass_against_all_segmentations():
     rng = np.random.default_rng(2)
     table = {p: rng.random(2) for p in ("a", "b", "ab", "ba", "aab", "bb")}
     unseen = np.full(2, 1e-3)
+    segmenter = langid.Segmenter(list(table), np.array([*table.values()]), 1e-3)
 
     def brute(word):
         if not word:
@@ -136,7 +137,33 @@ def test_forward_pass_against_all_segmentations():
         return total
 
     words = ["".join(rng.choice(list("abc"), n)) for n in (1, 2, 5, 9) for _ in range(6)]
-    assert np.exp(langid.Segmenter(table, unseen).logs(words)) == pytest.approx(np.array([brute(w) for w in words]))
+    assert np.exp(segmenter.logs(words)) == pytest.approx(np.array([brute(w) for w in words]))
+
+    def cuts(word):
+        return [[]] if not word else [[p, *rest] for n in range(1, min(3, len(word)) + 1) if (p := word[:n]) in table or n == 1 for rest in cuts(word[len(p) :])]
+
+    found, want = segmenter.expected(words, np.arange(1.0, 25.0), np.arange(24) % 2), np.zeros((len(table), 2))
+    for i, w in enumerate(words):
+        ways = [(float(np.prod([table.get(p, unseen)[i % 2] for p in c])), c) for c in cuts(w)]
+        for p, c in ways:
+            for piece in c:
+                if piece in table:
+                    want[list(table).index(piece), i % 2] += (i + 1) * p / sum(q for q, _ in ways)
+    assert found == pytest.approx(want)
+
+
+@pytest.mark.parametrize("stretch", [5, 16, 4096])
+def test_words_of_any_length_are_summed_whole(monkeypatch, stretch):
+    rng = np.random.default_rng(4)
+    names = ["a", "b", "ab", "ba", "abab", "b" * 16]
+    segmenter = langid.Segmenter(names, rng.random((6, 2)) / 10)
+    words = ["".join(rng.choice(list("abc"), n)) for n in (1, 15, 16, 17, 31, 40)] + ["b" * 40]
+    whole = [segmenter.logs([w])[0] for w in words]  # up to _SHORT letters side by side
+    monkeypatch.setattr(langid, "_STRETCH", stretch)
+    assert np.array([segmenter._long(w) for w in words]) == pytest.approx(np.array(whole))
+    monkeypatch.setattr(langid, "_SHORT", 64)
+    assert segmenter.logs(words) == pytest.approx(np.array(whole))
+    assert segmenter._long("c" * 3000) == pytest.approx(np.full(2, 3000 * np.log(langid.FLOOR)))
 
 
 def test_maximal_segments_by_brute_force():

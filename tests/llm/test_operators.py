@@ -230,8 +230,7 @@ def test_languages(spark):
 
 
 def test_forward_sums_all_segmentations():
-    table = {"a": np.array([0.5]), "b": np.array([0.25]), "ab": np.array([0.125]), "ba": np.array([0.1])}
-    got = langid.Segmenter(table, np.array([1e-7])).logs(["ab", "aba", "c", "a"])[:, 0]
+    got = langid.Segmenter(["a", "b", "ab", "ba"], np.array([[0.5], [0.25], [0.125], [0.1]])).logs(["ab", "aba", "c", "a"])[:, 0]
     assert np.exp(got) == pytest.approx([0.5 * 0.25 + 0.125, 0.5 * 0.25 * 0.5 + 0.125 * 0.5 + 0.5 * 0.1, 1e-7, 0.5])
 
 
