@@ -1,8 +1,8 @@
 """Toxic passages as maximum-scoring segments of token log-odds (operator 7).
 
 Tokens weigh their log-odds of standing in a toxic document, with an informative Dirichlet prior that follows the
-tokens' overall frequency, less one standard deviation, so that rare tokens need more evidence. Tokens without
-evidence weigh a little below 0. The linear-time scan of Ruzzo and Tompa finds all maximal segments, and extreme-value
+tokens' overall frequency, less one standard deviation, so that rare tokens need more evidence. Tokens whose documents
+depart no further from the classes' sizes than chance would let one of so many weigh a little below 0. The linear-time scan of Ruzzo and Tompa finds all maximal segments, and extreme-value
 statistics (Karlin and Altschul) tell how far a segment's score goes beyond what clean text of that length holds. The
 excess, summed over a document's significant segments, becomes a probability by a logistic curve fitted on labelled
 documents other than those that gave the weights.
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from faintlight.llm.store import written
 
 SAMPLE_DOCS = 20_000
-TOKENS = 20_000
 PRIOR = 50.0
 DRIFT = 0.5
 LEAST_DOCS = 3
@@ -100,6 +99,13 @@ def log_odds(docs1: np.ndarray, docs0: np.ndarray, n1: int, n0: int) -> np.ndarr
     return np.sign(odds) * np.maximum(np.abs(odds) - spread, 0.0)
 
 
+def deviance(docs1: np.ndarray, docs0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Twice the log-likelihood ratio by which the tokens' documents of class 1 depart from the classes' sizes."""
+    docs = docs1 + docs0
+    part = lambda seen, share: np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / (docs * share)), 0.0)
+    return 2 * (part(docs1, n1 / (n1 + n0)) + part(docs0, n0 / (n1 + n0)))
+
+
 def _evidence(n_tokens: int, segments: list[tuple[int, int, float]], model: dict) -> float:
     bar = math.log(max(model["k"] * n_tokens, 1e-9))
     return sum(max(0.0, model["rate"] * score - bar) for _, _, score in segments)
@@ -133,11 +139,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def learned(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    sample_docs: int = SAMPLE_DOCS, max_tokens: int = TOKENS,
+    sample_docs: int = SAMPLE_DOCS,
 ) -> dict:
     """A model from at most `sample_docs` labelled documents, the first by a hash of their ids.
 
-    Half of them give the token weights (at most `max_tokens`, those that stand in most documents), the others the
+    Half of them give the token weights (of all tokens that stand in LEAST_DOCS or more documents), the others the
     calibration. Labels other than 0 and 1, null ids and labelled ids without a document teach nothing; an id with
     several labels counts as toxic if one of them is 1. Without labels of both kinds every score is 0.5 or less.
     """
@@ -160,11 +166,13 @@ def learned(
     of = lambda c, k: F.sum(F.when(F.col("toxic") == k, F.col(c)).otherwise(0))
     counts = first.groupBy("token").agg(of("docs", 1).alias("d1"), of("docs", 0).alias("d0"), of("times", 0).alias("t0"))
     all_words = counts.agg(F.sum("t0")).first()[0] or 1
-    top = counts.where(F.col("d1") + F.col("d0") >= LEAST_DOCS).orderBy(F.desc(F.col("d1") + F.col("d0")), "token").limit(max_tokens).toPandas()
+    top = counts.where(F.col("d1") + F.col("d0") >= LEAST_DOCS).toPandas().sort_values("token")
     if not len(top):
         return model
     odds = np.clip(log_odds(top["d1"].to_numpy(float), top["d0"].to_numpy(float), n1, n0) - DRIFT / 2, -1.0, 8.0)
-    informed = (odds > 0) | (odds < -DRIFT)
+    # As many tests as tokens: chance alone hardly ever lifts one of m tokens over 2 log m.
+    telling = deviance(top["d1"].to_numpy(float), top["d0"].to_numpy(float), n1, n0) >= 2 * math.log(len(top) + 1)
+    informed = telling & ((odds > 0) | (odds < -DRIFT))
     weights = model["weights"] = dict(zip(top["token"][informed], odds[informed].tolist(), strict=True))
     share = top["t0"].to_numpy(float)[informed] / all_words
     value = odds[informed]
