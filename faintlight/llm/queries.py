@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with SQL where SQL can express them on whole tables."""
+"""The registered queries of the operators, with SQL where SQL can express them on whole tables."""
 
 from __future__ import annotations
 
@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faintlight.llm import langid, toxicity
+from faintlight.llm import langid, packing, toxicity
 from faintlight.llm.chat import perspectives
 from faintlight.llm.decontamination import contaminated
 from faintlight.llm.mixing import mixed
 from faintlight.llm.neardup import near_duplicates
+from faintlight.llm.negatives import hard_negatives
 from faintlight.llm.sharding import hash60, rendezvous, with_slots
 from faintlight.llm.substrings import without_repeats
 from faintlight.llm.suffixes import without_repeated_bytes
@@ -85,11 +86,25 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_bytes(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives(rows, vec_id % 100 == 0)
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    parts = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.packed(parts).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_sharding, op3_mixing, op4_exact_topk, op5_chat_formatting, op6_decontamination,
-        op7_toxicity, op8_substring_dedup, op9_language_id, op10_suffix_array_dedup,
+        op7_toxicity, op8_substring_dedup, op9_language_id, op10_suffix_array_dedup, op11_hard_negatives,
+        op13_best_fit_packing,
     )
 }
 
@@ -166,4 +181,14 @@ j AS (SELECT w.doc_id, len(ws) AS n, coalesce(len(gone), 0) AS r,
     array_to_string(list_transform(list_filter(range(1, len(ws) + 1), lambda i: gone IS NULL OR NOT list_contains(gone, i)), lambda i: ws[i]), ' ') AS kept
     FROM w LEFT JOIN k USING (doc_id))
 SELECT doc_id, n::BIGINT AS n_words, r::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM j""",
+    "op11_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM v a JOIN v b
+    ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+q AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS nth FROM p WHERE same),
+r AS (SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+    FROM q JOIN p USING (anchor_id) WHERE nth <= 5 AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 5""",
 }
