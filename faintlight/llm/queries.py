@@ -17,6 +17,7 @@ from faintlight.llm.sharding import hash60, rendezvous, with_slots
 from faintlight.llm.substrings import without_repeats
 from faintlight.llm.suffixes import without_repeated_bytes
 from faintlight.llm.topk import nearest
+from faintlight.llm.whitening import whitened
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +93,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows, vec_id % 100 == 0)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -104,7 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_minhash_near_dedup, op2_sharding, op3_mixing, op4_exact_topk, op5_chat_formatting, op6_decontamination,
         op7_toxicity, op8_substring_dedup, op9_language_id, op10_suffix_array_dedup, op11_hard_negatives,
-        op13_best_fit_packing,
+        op12_whitening, op13_best_fit_packing,
     )
 }
 
