@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import heapq
 import math
+import os
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,10 @@ CAPACITY = 2048
 PER_BUCKET = 50_000
 #: How far the branch-and-bound goes before it keeps its best packing: nodes, fillings that are tried at a node, and steps to look for them. They bound the search's time, not what is packed.
 NODES, WIDTH, STEPS = 4_000, 6, 400
-#: Tokens of known words that a task keeps at hand; words longer than this many characters aren't kept.
-KEPT_TOKENS, KEPT_WORD = 2_000_000, 64
+#: Tokens and characters of known words that a task keeps at hand before it begins anew.
+KEPT_TOKENS, KEPT_CHARS = 4_000_000, 20_000_000
+#: Words that are tokenized in one go.
+LEARNT = 4096
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 Counts = dict[int, int]
@@ -37,6 +41,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -46,33 +51,38 @@ class Encoder:
     def forget(self) -> None:
         self.places: dict[str, int] = {}
         self.starts, self.counts, self.tokens = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64), np.zeros(4096, dtype=np.uint32)
-        self.n_tokens = 0
+        self.n_tokens = self.n_chars = 0
 
     def learn(self, words: list[str]) -> None:
-        for start in range(0, len(words), 4096):
-            for word, e in zip(words[start : start + 4096], self.tokenizer.encode_batch_fast(words[start : start + 4096], add_special_tokens=False), strict=True):
-                ids, place = e.ids, len(self.places)
-                if place == len(self.starts):
-                    self.starts, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts))
-                while self.n_tokens + len(ids) > len(self.tokens):
-                    self.tokens = np.concatenate([self.tokens, np.zeros_like(self.tokens)])
-                self.tokens[self.n_tokens : self.n_tokens + len(ids)] = ids
-                self.starts[place], self.counts[place] = self.n_tokens, len(ids)
-                self.places[word] = place
-                self.n_tokens += len(ids)
-
-    def ids(self, text: str) -> np.ndarray:
-        words = _WORD.findall(text)
-        if self.n_tokens > KEPT_TOKENS:
+        for start in range(0, len(words), LEARNT):
+            part = words[start : start + LEARNT]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            # A token belongs to the word in which it begins.
+            ends = np.cumsum(np.fromiter(map(len, part), dtype=np.int64, count=len(part)) + 1)
+            begins = np.fromiter((x for x, _ in found.offsets), dtype=np.int64, count=len(found))
+            reached = np.searchsorted(begins, ends)
+            counts, place, n = np.diff(reached, prepend=0), len(self.places), self.n_tokens
+            while place + len(part) > len(self.starts):
+                self.starts, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts))
+            while n + len(found) > len(self.tokens):
+                self.tokens = np.concatenate([self.tokens, np.zeros_like(self.tokens)])
+            self.tokens[n : n + len(found)] = found.ids
+            self.starts[place : place + len(part)], self.counts[place : place + len(part)] = n + reached - counts, counts
+            self.places.update(zip(part, range(place, place + len(part)), strict=True))
+            self.n_tokens += len(found)
+            self.n_chars += int(ends[-1])
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        if self.n_tokens > KEPT_TOKENS or self.n_chars > KEPT_CHARS:
             self.forget()
-        self.learn([w for w in set(words) if w not in self.places])
-        at = np.fromiter(map(self.places.__getitem__, words), dtype=np.int64, count=len(words))
+        words = [_WORD.findall(t) for t in texts]
+        flat = list(chain.from_iterable(words))
+        self.learn(list(set(flat).difference(self.places)))
+        at = np.fromiter(map(self.places.__getitem__, flat), dtype=np.int32, count=len(flat))
         counts = self.counts[at]
-        ends = np.cumsum(counts)
-        out = self.tokens[np.repeat(self.starts[at] - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        if any(len(w) > KEPT_WORD for w in words):
-            self.forget()
-        return out
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        found = self.tokens[np.repeat(self.starts[at] - ends[:-1], counts) + np.arange(ends[-1])]
+        return np.split(found, ends[np.cumsum([len(w) for w in words])[:-1]])
 
 
 @lru_cache(maxsize=4)
@@ -80,12 +90,26 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _by_size(texts: Iterator[str], most: int = 1 << 19) -> Iterator[list[str]]:
+    """The texts in lists that end with the text that brings them to so many characters."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     encode, row_id = encoder(path), TaskContext.get().partitionId() << 36
     for batch in batches:
         places, out, ids = [], [], []
-        for i, text in enumerate(batch.column("text")):
-            found = np.append(encode.ids(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
+        texts = ((t.as_py() or "") for t in batch.column("text"))
+        for i, found in enumerate(chain.from_iterable(map(encode.ids, _by_size(texts)))):
+            found = np.append(found, np.uint32(end_id)).astype("<u4")
             for piece, start in enumerate(range(0, len(found), capacity)):
                 part = found[start : start + capacity]
                 places.append(i)
