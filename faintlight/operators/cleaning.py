@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faintlight.operators import order
+
 
 def finite(column: str) -> Column:
     """The value where it is neither null nor NaN nor infinite, else null."""
@@ -19,17 +21,17 @@ def known(column: str) -> Column:
 
 
 def _filled(frame: DataFrame, medians: DataFrame, columns: list[str], value, last) -> DataFrame:
-    return frame.join(F.broadcast(medians)).withColumns({c: last(F.coalesce(value(c), F.col(f"__{c}"))) for c in columns}).select(*frame.columns)
+    return frame.join(F.broadcast(medians)).withColumns({c: last(F.coalesce(value(c), F.col(f"__{c}")[0])) for c in columns}).select(*frame.columns)
 
 
 def medians(frame: DataFrame, columns: list[str], value=finite) -> DataFrame:
-    """One row with the median of each column's values, named with two underscores before."""
-    return frame.agg(*(F.percentile(value(c), F.lit(0.5)).alias(f"__{c}") for c in columns))
+    """One row with an array of the median of each column's values, named with two underscores before."""
+    return order.quantiles_of(frame, {f"__{c}": value(c) for c in columns}, [0.5])
 
 
 def fill_then_zero(frame: DataFrame, columns: list[str], train: Column) -> DataFrame:
     """NaN becomes the median of train first, then what is still not finite becomes 0."""
-    found = frame.where(train).agg(*(F.percentile(known(c), F.lit(0.5)).alias(f"__{c}") for c in columns))
+    found = medians(frame.where(train), columns, known)
     zero = lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x).otherwise(F.lit(0.0))
     return _filled(frame, found, columns, known, zero)
 
@@ -67,7 +69,7 @@ def aligned(frame: DataFrame, columns: list[str]) -> DataFrame:
 
 def clipped_out(frame: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """The rows whose value lies between two percentiles of the column."""
-    bounds = frame.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("__b"))
+    bounds = order.quantiles_of(frame, {"__b": F.col(column)}, [low, high])
     return frame.join(F.broadcast(bounds), F.col(column).between(F.col("__b")[0], F.col("__b")[1])).drop("__b")
 
 
@@ -85,11 +87,10 @@ def scan_quality(frame: DataFrame, columns: list[str]) -> DataFrame:
     pieces = []
     for c in columns:
         v, f = F.col(c).cast("double"), finite(c)
-        spread = F.sqrt(F.greatest(F.avg(f * f) - F.avg(f) ** 2, F.lit(0.0)))
         pieces.append(
             F.struct(
                 F.lit(c).alias("variable"), F.count(f).alias("n"), F.count_if(v.isNull() | F.isnan(v)).alias("n_nan"), F.count_if(F.abs(v) == float("inf")).alias("n_inf"),
-                F.min(f).alias("min"), F.max(f).alias("max"), F.avg(f).alias("mean"), spread.alias("std"), (F.min(f) == F.max(f)).alias("constant"),
+                F.min(f).alias("min"), F.max(f).alias("max"), F.avg(f).alias("mean"), F.stddev_pop(f).alias("std"), (F.min(f) == F.max(f)).alias("constant"),
             )
         )
     return frame.agg(F.array(*pieces).alias("x")).select(F.explode("x").alias("x")).select("x.*")

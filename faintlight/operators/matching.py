@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faintlight.operators import neighbours
+from faintlight.operators.order import quantiles_of
 from faintlight.operators.tables import set_checkpoints
 
 
 def close_pairs(pairs: DataFrame, factor: float = 1.5) -> DataFrame:
     """Pairs whose distance is at most factor times the first quartile of all distances."""
-    quartile = pairs.agg(F.percentile("distance", 0.25).alias("__q"))
-    return pairs.join(F.broadcast(quartile), F.col("distance") <= factor * F.col("__q")).drop("__q")
+    quartile = quantiles_of(pairs, {"__q": F.col("distance")}, [0.25])
+    return pairs.join(F.broadcast(quartile), F.col("distance") <= factor * F.col("__q")[0]).drop("__q")
 
 
 def greedy_match(pairs: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def match_all(queries: DataFrame, points: DataFrame, k: int = 20, factor: float
     """
     set_checkpoints(queries.sparkSession)
     near = neighbours.nearest(queries, points, k).checkpoint()
-    quartile = near.agg(F.percentile("distance", 0.25)).first()[0]
+    quartile = (quantiles_of(near, {"q": F.col("distance")}, [0.25]).first()[0] or [None])[0]
     order = F.struct("distance", "id", "neighbour")
     taken = near.select("id", "neighbour", "distance").limit(0)
     while quartile is not None:

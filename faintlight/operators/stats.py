@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faintlight.operators import order
+from faintlight.operators.tables import set_checkpoints
+
 
 def long_form(frame: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """(keys, variable, value), one row per key and column."""
@@ -16,11 +18,13 @@ def long_form(frame: DataFrame, keys: list[str], columns: list[str]) -> DataFram
 
 def describe(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Count, mean, deviation, extremes and percentiles of value."""
-    q = F.percentile("value", F.array(*map(F.lit, (0.01, 0.25, 0.5, 0.75, 0.99))))
-    return rows.groupBy(*keys).agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"),
-        q[0].alias("p1"), q[1].alias("p25"), q[2].alias("p50"), q[3].alias("p75"), q[4].alias("p99"), F.max("value").alias("max"),
-    )
+    found = order.quantiles(rows, "value", (0.01, 0.25, 0.5, 0.75, 0.99), keys)
+    q = found.select(*(F.col(k).alias(f"__of_{k}") for k in keys), *(F.col("q")[i].alias(p) for i, p in enumerate(("p1", "p25", "p50", "p75", "p99"))))
+    moments = rows.groupBy(*keys).agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys] or F.lit(True)
+    return moments.join(q, same, "left").select(*keys, "n", "mean", "std", "min", "p1", "p25", "p50", "p75", "p99", "max")
 
 
 def heavy_tails(described: DataFrame, limit: float = 50.0) -> DataFrame:
@@ -29,28 +33,8 @@ def heavy_tails(described: DataFrame, limit: float = 50.0) -> DataFrame:
     return described.where(iqr > 0).withColumn("tail_ratio", (F.col("max") - F.col("min")) / iqr).withColumn("heavy", F.col("tail_ratio") > limit)
 
 
-RANKED_PER_TASK = 1_000_000
-
-
-def ranked(rows: DataFrame, value: str, name: str = "rank", descending: bool = False, average: bool = False, per_task: int = RANKED_PER_TASK) -> DataFrame:
-    """Adds the rank from 1 over the whole table; ties share the first rank, or their mean rank with average=True.
-
-    Values are cut into ranges of about per_task rows at approximate quantiles, rows are ranked in their range, and a
-    range's ranks start where the ranges before it end; so no task sorts the table. Equal values are in one range.
-    Null values come first, or last if descending.
-    """
-    n_ranges = max(1, math.ceil(rows.count() / per_task))
-    bounds = rows.approxQuantile(value, [i / n_ranges for i in range(1, n_ranges)], 0.1 / n_ranges) if n_ranges > 1 else []
-    at = sum((F.when(F.col(value) >= b, 1).otherwise(0) for b in sorted(set(bounds))), F.lit(0))
-    rows = rows.withColumn("__range", -at if descending else at)
-    before = Window.orderBy("__in").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy(F.col("__range").alias("__in")).agg(F.count("*").alias("__n"))
-    offsets = sizes.select("__in", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    order = F.desc(value) if descending else F.asc(value)
-    place = F.col("__offset") + F.rank().over(Window.partitionBy("__range").orderBy(order))
-    if average:
-        place = place + (F.count("*").over(Window.partitionBy("__range", value)) - 1) / 2
-    return rows.join(F.broadcast(offsets), F.col("__range") == F.col("__in")).withColumn(name, place).drop("__range", "__in", "__offset")
+#: Ranks over whole tables: see order.ranked().
+ranked = order.ranked
 
 
 def average_rank(value: str, within: list[str] = ()) -> Column:
@@ -64,20 +48,39 @@ def percentile_rank(value: str, within: list[str] = ()) -> Column:
     return average_rank(value, within) / F.count("*").over(Window.partitionBy(*within)) * 100
 
 
+def percentile_ranked(rows: DataFrame, value: str, name: str, within: list[str] = ()) -> DataFrame:
+    """Adds the mean rank as a percentage of the number of rows, over the table or among equal `within`."""
+    sizes = rows.groupBy(*(F.col(k).alias(f"__of_{k}") for k in within)).agg(F.count("*").alias("__all"))
+    same = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in within] or F.lit(True)
+    found = order.ranked(rows, value, name, average=True, within=within).join(sizes if within else F.broadcast(sizes), same)
+    return found.withColumn(name, F.col(name) / F.col("__all") * 100).drop("__all", *(f"__of_{k}" for k in within))
+
+
+def median_gap(rows: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
+    """The median of group a less that of group b, over the interquartile range of both together (1e-12 at least)."""
+    v, g = F.col(value), F.col(group)
+    found = order.quantiles_of(rows.where(g.isin(a, b)), {"a": F.when(g == a, v), "b": F.when(g == b, v), "both": v}, [0.25, 0.5, 0.75])
+    return found.select(((F.col("a")[1] - F.col("b")[1]) / F.greatest(F.col("both")[2] - F.col("both")[0], F.lit(1e-12))).alias("gap"))
+
+
 def roc_auc(rows: DataFrame, score: str, label: str, within: list[str] = ()) -> DataFrame:
-    """Area under the ROC curve of score for label 1 against 0, by average ranks (Mann and Whitney)."""
-    ordered = rows.withColumn("__r", average_rank(score, list(within))) if within else ranked(rows, score, "__r", average=True)
-    pos, neg = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
-    auc = (F.sum(F.when(F.col(label) == 1, F.col("__r"))) - pos * (pos + 1) / 2) / (pos * neg)
-    return ordered.groupBy(*within).agg(auc.alias("auc"), pos.alias("n_pos"), neg.alias("n_neg"))
+    """Area under the ROC curve of score for label 1 against 0, by average ranks (Mann and Whitney), from counts of the scores."""
+    counts = rows.groupBy(*within, score).agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    counts = order.cumulated(counts, score, ["n"], within)
+    pos, neg, rank = F.sum("pos"), F.sum("neg"), F.col("before_n") + (F.col("n") + 1) / 2
+    auc = (F.sum(F.col("pos") * rank) - pos * (pos + 1) / 2) / F.nullif(pos * neg, F.lit(0))
+    return counts.groupBy(*within).agg(auc.alias("auc"), F.coalesce(pos, F.lit(0)).alias("n_pos"), F.coalesce(neg, F.lit(0)).alias("n_neg"))
 
 
 def kruskal_wallis(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """The H statistic with correction for ties."""
-    ordered = ranked(rows.select(group, value), value, "__r", average=True)
-    n = ordered.groupBy(group).agg(F.sum("__r").alias("r"), F.count("*").alias("n"))
-    sums = n.agg(F.sum(F.col("r") ** 2 / F.col("n")).alias("s"), F.sum("n").alias("n"), F.count("*").alias("n_groups"))
-    ties = rows.groupBy(value).agg(F.count("*").cast("double").alias("t")).agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
+    """The H statistic with correction for ties, from counts of the values."""
+    set_checkpoints(rows.sparkSession)
+    counts = rows.groupBy(group, value).agg(F.count("*").alias("n")).checkpoint()
+    ranks = order.cumulated(counts.groupBy(F.col(value).alias("__v")).agg(F.sum("n").alias("t")), "__v", ["t"])
+    ranks = ranks.select("__v", (F.col("before_t") + (F.col("t") + 1) / 2).alias("rank"), F.col("t").cast("double").alias("t"))
+    ties = ranks.agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
+    of_group = counts.join(ranks, F.col(value).eqNullSafe(F.col("__v"))).groupBy(group).agg(F.sum(F.col("rank") * F.col("n")).alias("r"), F.sum("n").alias("n"))
+    sums = of_group.agg(F.sum(F.col("r") ** 2 / F.col("n")).alias("s"), F.sum("n").alias("n"), F.count("*").alias("n_groups"))
     total = F.col("n").cast("double")
     h = (12 / (total * (total + 1)) * F.col("s") - 3 * (total + 1)) / (1 - F.col("ties") / (total**3 - total))
     return sums.crossJoin(ties).select(h.alias("h"), F.col("n_groups"), F.col("n"))
@@ -86,29 +89,40 @@ def kruskal_wallis(rows: DataFrame, group: str, value: str) -> DataFrame:
 def kolmogorov_smirnov(rows: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
     """The largest distance between the cumulative shares of groups a and b."""
     counts = rows.where(F.col(group).isin(a, b)).groupBy(value).agg(F.count_if(F.col(group) == a).alias("a"), F.count_if(F.col(group) == b).alias("b"))
-    so_far, whole = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    share = lambda c: F.sum(c).over(so_far) / F.sum(c).over(whole)
-    return counts.withColumn("d", F.abs(share("a") - share("b"))).agg(F.max("d").alias("ks"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
+    sums = order.cumulated(counts, value, ["a", "b"])
+    whole = sums.agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
+    share = lambda c: (F.col(f"before_{c}") + F.col(c)) / F.col(f"n_{c}")
+    return sums.join(F.broadcast(whole)).withColumn("d", F.abs(share("a") - share("b"))).groupBy("n_a", "n_b").agg(F.max("d").alias("ks")).select("ks", "n_a", "n_b")
 
 
 def chi2_tail(value: Column, freedom: Column) -> Column:
-    """The probability of a larger chi-square value with so many degrees of freedom; null for nulls or none."""
+    """The probability of a larger chi-square value with so many degrees of freedom; null for nulls or none.
+
+    For an even number it is a sum of Poisson terms; for an odd one the same sum over halves, from the normal tail on.
+    """
+    half, df = value.cast("double") / 2, freedom.cast("long")
+    even = df % 2 == 0
+    # Terms x^a / gamma(a + 1) for a from 0 or 1/2 on, below df / 2; each follows from the one before.
+    start = F.when(even, F.exp(-half)).otherwise(F.exp(-half) * F.sqrt(half) * 2 / math.sqrt(math.pi))
+    n = F.when(even, df / 2).otherwise((df - 1) / 2).cast("int")
+    first = F.struct(start.alias("term"), F.lit(0.0).alias("total"))
+    step = lambda x, i: F.struct((x["term"] * half / (i + F.when(even, 0.0).otherwise(0.5))).alias("term"), (x["total"] + x["term"]).alias("total"))
+    total = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), first, step)["total"]
+    return F.when((value >= 0) & (df > 0), F.least(F.lit(1.0), total + F.when(even, 0.0).otherwise(normal_tail(half))))
 
-    @F.pandas_udf("double")
-    def tail(x: pd.Series, df: pd.Series) -> pd.Series:
-        def one(x: float, df: float) -> float | None:
-            if not (x >= 0 and df > 0):
-                return None
-            half, a = x / 2, 1.0 if df % 2 == 0 else 0.5
-            total = math.exp(-half) if df % 2 == 0 else math.erfc(math.sqrt(half))
-            while a < df / 2:  # raises the degrees of freedom by two
-                total += math.exp(a * math.log(half) - half - math.lgamma(a + 1)) if half else 0.0
-                a += 1
-            return min(total, 1.0)
 
-        return pd.Series([one(*pair) for pair in zip(x, df, strict=True)], dtype="float64")
+def normal_tail(half: Column) -> Column:
+    """erfc(sqrt(half)), the chance that a standard normal value lies further from 0 than sqrt(2 * half).
 
-    return tail(value.cast("double"), freedom.cast("double"))
+    By its power series below 4 and by its continued fraction from there on, both to about 1e-15.
+    """
+    x = F.sqrt(half)
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(60)), F.struct(x.alias("term"), x.alias("total")),
+        lambda s, i: F.struct((-s["term"] * half / i).alias("term"), (s["total"] - s["term"] * half / i / (2 * i + 1)).alias("total")),
+    )["total"]
+    fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), x, lambda f, i: x + i / F.lit(2.0) / f)
+    return F.when(half < 4, 1 - series * 2 / math.sqrt(math.pi)).otherwise(F.exp(-half) / math.sqrt(math.pi) / fraction)
 
 
 def kolmogorov_tail(distance: Column, n_a: Column, n_b: Column, terms: int = 100) -> Column:
@@ -122,8 +136,7 @@ def kolmogorov_tail(distance: Column, n_a: Column, n_b: Column, terms: int = 100
 
 def recall_at_fpr(rows: DataFrame, score: str, label: str, rates: tuple[float, ...] = (0.01, 0.02, 0.05, 0.10, 0.20)) -> DataFrame:
     """For each rate the score that so many of label 0 exceed, the rate reached, and the recall of label 1 (score >= threshold)."""
-    q = rows.where(F.col(label) == 0).agg(F.percentile(score, F.array(*(F.lit(1 - r) for r in rates))).alias("q"))
-    limits = q.select(F.posexplode("q").alias("i", "threshold")).withColumn("fpr", F.array(*map(F.lit, rates))[F.col("i")])
+    limits = order.quantiles(rows.where(F.col(label) == 0), score, [1 - r for r in rates]).select(F.posexplode("q").alias("i", "threshold")).withColumn("fpr", F.array(*map(F.lit, rates))[F.col("i")])
     hit = F.col(score) >= F.col("threshold")
     share = lambda k: F.count_if(hit & (F.col(label) == k)) / F.count_if(F.col(label) == k)
     return rows.join(F.broadcast(limits)).groupBy("fpr", "threshold").agg(share(0).alias("fpr_reached"), share(1).alias("recall"))
@@ -151,7 +164,7 @@ def standard_scaled(frame: DataFrame, columns: list[str], fit: Column | None = N
 
 def robust_scaled(frame: DataFrame, columns: list[str]) -> DataFrame:
     """The columns less their median, over their interquartile range (1 if that is 0)."""
-    stats = frame.agg(*(F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(f"__{c}") for c in columns))
+    stats = order.quantiles_of(frame, {f"__{c}": F.col(c) for c in columns}, (0.25, 0.5, 0.75))
     q = lambda c, i: F.col(f"__{c}")[i]
     iqr = lambda c: q(c, 2) - q(c, 0)
     return frame.join(F.broadcast(stats)).withColumns({c: (F.col(c) - q(c, 1)) / F.when(iqr(c) > 0, iqr(c)).otherwise(1.0) for c in columns}).drop(*(f"__{c}" for c in columns))
@@ -160,8 +173,8 @@ def robust_scaled(frame: DataFrame, columns: list[str]) -> DataFrame:
 def imputed(frame: DataFrame, columns: list[str], train: Column) -> DataFrame:
     """Infinite and NaN values become the column's median where `train` holds, or 0 if there is none."""
     ok = {c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)) for c in columns}
-    medians = frame.where(train).agg(*(F.percentile(ok[c], F.lit(0.5)).alias(f"__{c}") for c in columns))
-    return frame.join(F.broadcast(medians)).withColumns({c: F.coalesce(ok[c], F.col(f"__{c}"), F.lit(0.0)) for c in columns}).drop(*(f"__{c}" for c in columns))
+    medians = order.quantiles_of(frame.where(train), {f"__{c}": ok[c] for c in columns}, [0.5])
+    return frame.join(F.broadcast(medians)).withColumns({c: F.coalesce(ok[c], F.col(f"__{c}")[0], F.lit(0.0)) for c in columns}).drop(*(f"__{c}" for c in columns))
 
 
 def hash_order(column: Column, seed: str) -> Column:
@@ -170,15 +183,15 @@ def hash_order(column: Column, seed: str) -> Column:
 
 def stratified(frame: DataFrame, key: str, stratum: str, share: float = 0.8, seed: str = "42") -> DataFrame:
     """Adds is_train: the first `share` of each stratum by a hash of the key."""
-    order = Window.partitionBy(stratum).orderBy(hash_order(F.col(key), seed), key)
-    return frame.withColumn("is_train", F.row_number().over(order) <= F.round(F.count("*").over(Window.partitionBy(stratum)) * share))
+    turn = Window.partitionBy(stratum).orderBy(hash_order(F.col(key), seed), key)
+    return frame.withColumn("is_train", F.row_number().over(turn) <= F.round(F.count("*").over(Window.partitionBy(stratum)) * share))
 
 
 def group_folds(frame: DataFrame, group: str, k: int = 5, seed: str = "42") -> DataFrame:
-    """Adds fold 0..k-1, the same for all rows of a group."""
-    groups = frame.select(group).distinct()
-    fold = (F.row_number().over(Window.orderBy(hash_order(F.col(group), seed), group)) - 1) % k
-    return frame.join(groups.withColumn("fold", fold.cast("int")), group)
+    """Adds fold 0..k-1, the same for all rows of a group: groups take turns in the order of a hash."""
+    groups = frame.select(group).distinct().withColumn("__h", F.concat_ws(":", hash_order(F.col(group), seed), F.col(group).cast("string")))
+    groups = order.ranked(groups, "__h", "__r")
+    return frame.join(groups.select(group, ((F.col("__r") - 1) % k).cast("int").alias("fold")), group)
 
 
 def run_summary(rows: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
@@ -196,7 +209,9 @@ def differences(pairs: DataFrame, a: Column, b: Column, least: float = 1e-9) ->
     """Mean, median and largest of |a - b|, and how many are above `least`; pairs with nulls don't count."""
     d = pairs.select(F.abs(a - b).alias("d")).where("d IS NOT NULL")
     more = F.count_if(F.col("d") > least)
-    return d.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.percentile("d", F.lit(0.5)).alias("median"), F.max("d").alias("max"), more.alias("n_differ"), (100.0 * more / F.count("*")).alias("percent_differ"))
+    found = d.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.max("d").alias("max"), more.alias("n_differ"), (100.0 * more / F.count("*")).alias("percent_differ"))
+    median = order.quantiles_of(d, {"median": F.col("d")}, [0.5]).select(F.col("median")[0].alias("median"))
+    return found.join(F.broadcast(median)).select("n", "mean", "median", "max", "n_differ", "percent_differ")
 
 
 def bucket(value: Column, limits: list[float], names: list[str]) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def set_checkpoints(spark: SparkSession) -> None:
@@ -14,3 +15,12 @@ def set_checkpoints(spark: SparkSession) -> None:
         if not folder and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='spark-')}")
+
+
+#: Sides of joins with at most so many short rows are sent to every executor; longer ones are shuffled.
+BROADCAST_ROWS = 250_000
+
+
+def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table, to be broadcast if a count finds at most so many rows in it."""
+    return F.broadcast(table) if table.count() <= rows else table

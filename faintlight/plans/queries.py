@@ -322,10 +322,7 @@ def chi2_gof(spark, sf_dir):
 @query("""SELECT round((quantile_cont(v, 0.5) FILTER (WHERE g = 'A') - quantile_cont(v, 0.5) FILTER (WHERE g = 'R')) / greatest(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 1e-12), 6) AS gap
 FROM (SELECT l_returnflag AS g, l_extendedprice AS v FROM lineitem WHERE l_returnflag IN ('A', 'R'))""")
 def median_gap_iqr(spark, sf_dir):
-    v = F.col("l_extendedprice")
-    of = lambda k: F.percentile(F.when(F.col("l_returnflag") == k, v), F.lit(0.5))
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.75)))
-    return rounded(table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("A", "R")).agg(((of("A") - of("R")) / F.greatest(q[1] - q[0], F.lit(1e-12))).alias("gap")))
+    return rounded(stats.median_gap(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", "A", "R"))
 
 
 @query("SELECT o_orderkey, round((o_totalprice - (SELECT avg(o_totalprice) FROM orders WHERE o_orderkey % 5 <> 0)) / (SELECT stddev_pop(o_totalprice) FROM orders WHERE o_orderkey % 5 <> 0), 6) AS o_totalprice FROM orders")
@@ -352,13 +349,13 @@ def rank_top_fraction(spark, sf_dir):
 
 @query("SELECT doc_id, round((rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY lang) * 100, 6) AS percentile FROM documents")
 def pct_rank_in_class(spark, sf_dir):
-    return rounded(table(spark, sf_dir, "documents").select("doc_id", stats.percentile_rank("n_chars", ["lang"]).alias("percentile")))
+    return rounded(stats.percentile_ranked(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "n_chars", "percentile", ["lang"]).select("doc_id", "percentile"))
 
 
 @query("SELECT event_id, round((rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0::DOUBLE) / count(*) OVER () * 100, 6) AS percentile FROM events")
 def pct_rank_global(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "value")
-    return rounded(stats.ranked(e, "value", "r", average=True).select("event_id", (F.col("r") / e.count() * 100).alias("percentile")))
+    return rounded(stats.percentile_ranked(e, "value", "percentile").select("event_id", "percentile"))
 
 
 @query("SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY md5(p_partkey::VARCHAR || '42'), p_partkey) <= round(count(*) OVER (PARTITION BY p_brand) * 0.8) AS is_train FROM part")
@@ -488,8 +485,8 @@ def class_share(spark, sf_dir):
 @query("WITH x AS (SELECT doc_id, n_chars, lang, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents) SELECT (floor(((i + 1) * 10 - 1)::DOUBLE / n))::INT AS decile, count(*) AS n_rows, round(avg(n_chars), 6) AS mean, round(avg((lang = 'en')::INT), 6) AS share_en FROM x GROUP BY decile")
 def deciles_position(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang")
-    x = d.withColumn("i", F.row_number().over(Window.orderBy("doc_id")) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
-    x = x.withColumn("decile", F.floor(((F.col("i") + 1) * 10 - 1) / F.col("n")).cast("int"))
+    x = stats.ranked(d, "doc_id", "i").join(F.broadcast(d.agg(F.count("*").alias("n"))))
+    x = x.withColumn("decile", F.floor((F.col("i") * 10 - 1) / F.col("n")).cast("int"))
     return rounded(x.groupBy("decile").agg(F.count("*").alias("n_rows"), F.avg("n_chars").alias("mean"), F.avg((F.col("lang") == "en").cast("int")).alias("share_en")))
 
 
