@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from faintlight import curves
 from faintlight.functions import features
 from faintlight.operators import crossmatch, detect, matching, models, neighbours, quality, stats
+from faintlight.operators.tables import set_checkpoints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -534,7 +535,8 @@ def centroids_distances(spark, sf_dir):
 
 def _part_features(spark, sf_dir):
     f = features.core_features(lc_part(spark, sf_dir), ["id_objeto"], passed=("clase",)).withColumn("id", F.col("id_objeto").cast("long"))
-    f = stats.stratified(f, "id", "clase").cache()
+    set_checkpoints(spark)
+    f = stats.stratified(f, "id", "clase").checkpoint()
     return f.where("is_train"), f.where("NOT is_train")
 
 
@@ -548,6 +550,16 @@ def ood_min_score(spark, sf_dir):
     return detect.detect_against_classes(*_part_features(spark, sf_dir), features.CORE).drop("scores")
 
 
+@query()
+def ood_class_scores(spark, sf_dir):
+    return detect.class_scores(*_part_features(spark, sf_dir), features.CORE)
+
+
+@query()
+def per_class_detect(spark, sf_dir):
+    return detect.detect_per_class(*_part_features(spark, sf_dir), features.CORE)
+
+
 @query()
 def full_pipeline(spark, sf_dir):
     return detect.detect(*_part_features(spark, sf_dir), features.CORE)
