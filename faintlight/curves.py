@@ -68,6 +68,13 @@ def main_band(points: DataFrame, priority: Sequence[str] = BAND_PRIORITY) -> Dat
     return points.join(chosen, (F.col("id_objeto") == F.col("__id")) & F.col("banda").eqNullSafe(F.col("__b"))).drop("__id", "__b")
 
 
+def last_duplicate(points: DataFrame, copy: str) -> DataFrame:
+    """Each curve's points of its last copy only, where a source gives a curve several times: those with the largest `copy`."""
+    last = points.groupBy(*CURVE).agg(F.max(copy).alias("__last")).withColumnsRenamed({c: f"__{c}" for c in CURVE})
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in CURVE]
+    return points.join(last, [*same, F.col(copy).eqNullSafe(F.col("__last"))]).drop("__last", *(f"__{c}" for c in CURVE))
+
+
 def longest_band(points: DataFrame, priority: Sequence[str] = ("g", "r", "i")) -> DataFrame:
     """(id_objeto, banda, n): the band with most points; ties go by priority and then name."""
     rank = F.lit(len(priority))

@@ -36,10 +36,25 @@ def tail_padding(points: DataFrame, keys: list[str] = CURVE) -> DataFrame:
 
 
 def curve_hash(points: DataFrame, keys: list[str] = CURVE, decimals: int = 10) -> DataFrame:
-    """A digest of each curve's rounded content in order of time."""
-    text = lambda c: F.coalesce(F.round(F.col(c), decimals).cast("string"), F.lit(""))
-    row = F.concat_ws("|", text("t"), text("m"), text("e"))
-    return points.groupBy(*keys).agg(F.sha1(F.concat_ws(";", F.sort_array(F.collect_list(row)))).alias("content"))
+    """(keys, content): a digest of each curve's rounded points in order of time, magnitude and error."""
+    rounded = F.struct(*(F.round(F.col(c), decimals).alias(c) for c in ("t", "m", "e")))
+    text = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    rows = F.transform(F.array_sort(F.collect_list(rounded)), lambda p: F.concat_ws("|", text(p["t"]), text(p["m"]), text(p["e"])))
+    return points.groupBy(*keys).agg(F.sha1(F.concat_ws(";", rows)).alias("content"))
+
+
+def exact_curve_hash(points: DataFrame, key: str = "id_objeto", bands: tuple[str, ...] = ("g", "r", "i")) -> DataFrame:
+    """(key, content): a SHA-256 digest of all of an object's points in these bands, unrounded, band by band in order of time."""
+    place = F.array_position(F.array(*map(F.lit, bands)), F.col("banda"))
+    rows = F.array_sort(F.collect_list(F.when(place > 0, F.struct(place.alias("band"), "t", "m", "e"))))
+    text = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    parts = F.transform(rows, lambda p: F.concat_ws("|", p["band"].cast("string"), text(p["t"]), text(p["m"]), text(p["e"])))
+    return points.groupBy(key).agg(F.sha2(F.concat_ws(";", parts), 256).alias("content"))
+
+
+def without_known_curves(train: DataFrame, test: DataFrame, keys: list[str] = CURVE, decimals: int = 10) -> DataFrame:
+    """The test curves (keys, content) whose content no train curve has, whatever its id and band."""
+    return without_leaks(curve_hash(train, keys, decimals), curve_hash(test, keys, decimals), ["content"])
 
 
 def without_leaks(train: DataFrame, test: DataFrame, on: list[str]) -> DataFrame:

@@ -2,4 +2,5 @@
 
 from faintlight.plans import more as more
 from faintlight.plans import queries as queries
+from faintlight.plans import scanning as scanning
 from faintlight.plans import studies as studies
