@@ -96,33 +96,38 @@ def reason(least: int = 2) -> Column:
 
 @dataclass
 class Scan:
-    """Curves that are valid, those that are not with their `reason`, and what an action on the former has counted."""
+    """Curves that are valid, those that are not with their `reason`, and where asked what an action on the former counts."""
 
     curves: DataFrame
     rejected: DataFrame
-    observed: Observation
+    counts: DataFrame
+    observed: Observation | None = None
 
     def discarded(self) -> dict[str, int]:
-        """How many curves each reason took, `curves` and `discarded` in all; known once an action on `curves` has run."""
-        return dict(self.observed.get)
+        """How many curves each reason took, `curves` and `discarded` in all: as the action on `curves` observed it, which
+        must have run, or else by a pass of its own."""
+        return dict(self.observed.get) if self.observed else self.counts.first().asDict()
 
 
-def checked(curves: DataFrame, strict: bool = False, least: int = 2, name: str | None = None) -> Scan:
+def checked(curves: DataFrame, strict: bool = False, least: int = 2, observe: bool = False) -> Scan:
     """Curves (id_objeto, banda, t, m, e and others) without those that aren't valid.
 
-    Drops are counted by the action that uses the curves, without a pass of their own. With strict=True the first curve
-    that isn't valid ends the job with its id, band and reason. Null ids and bands are values like others.
+    With observe=True drops are counted by the action that uses the curves, without a pass of their own. A session that
+    has observed can no longer send fitted models of pyspark.ml to tasks (Spark's table of observations isn't
+    serializable), so observe curves of a session of their own (spark.newSession()) where models are used too. With
+    strict=True the first curve that isn't valid ends the job with its id, band and reason. Null ids and bands are values
+    like others.
     """
-    seen = Observation(name) if name else Observation()
+    seen = Observation() if observe else None
     marked = curves.withColumn("reason", reason(least))
-    counts = [F.count_if(F.col("reason") == r).alias(r) for r in REASONS]
-    watched = marked.observe(seen, F.count("*").alias("curves"), F.count_if(F.col("reason").isNotNull()).alias("discarded"), *counts)
+    counts = [F.count("*").alias("curves"), F.count_if(F.col("reason").isNotNull()).alias("discarded"), *(F.count_if(F.col("reason") == r).alias(r) for r in REASONS)]
+    watched = marked.observe(seen, *counts) if seen else marked
     if strict:
         told = F.concat_ws(": ", F.concat_ws(" ", F.coalesce("id_objeto", F.lit("no id")), "banda"), "reason")
         kept = watched.where(F.when(F.col("reason").isNull(), True).otherwise(F.raise_error(told).cast("boolean")))
     else:
         kept = watched.where("reason IS NULL")
-    return Scan(kept.drop("reason"), marked.where("reason IS NOT NULL"), seen)
+    return Scan(kept.drop("reason"), marked.where("reason IS NOT NULL"), marked.agg(*counts), seen)
 
 
 def points(curves: DataFrame) -> DataFrame:

@@ -42,11 +42,12 @@ def nested(spark):
 
 
 def test_drops_are_counted_by_the_action_itself(spark):
-    scan = scans.checked(scans.curves_of(nested(spark)))
+    scan = scans.checked(scans.curves_of(nested(spark.newSession())), observe=True)
     kept = sorted((r["id_objeto"], r["banda"], r["metadata"]) for r in scan.curves.collect())
     assert kept == [("ok", "g", {"period": 2.5}), ("ok", "r", {"period": 2.5})]
     reasons = {scans.NO_BANDS: 1, scans.LENGTHS: 1, scans.ERROR_LENGTH: 1, scans.FEW_POINTS: 1}
     assert scan.discarded() == {"curves": 6, "discarded": 4} | reasons
+    assert scans.checked(scans.curves_of(nested(spark))).discarded() == {"curves": 6, "discarded": 4} | reasons
     assert {(r["id_objeto"], r["reason"]) for r in scan.rejected.collect()} == {
         ("none", scans.NO_BANDS), ("short", scans.LENGTHS), ("errors", scans.ERROR_LENGTH), ("few", scans.FEW_POINTS),
     }
