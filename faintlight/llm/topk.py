@@ -11,13 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faintlight.llm.negatives import Block, accessed, whole_numbers
 from faintlight.llm.store import written
 
 BLOCK = 8192
 QUERY_BLOCK = 512
-DEPTH = 64
-
-
 LEAST = -(1 << 63)
 
 
@@ -31,37 +29,20 @@ def threshold_search(
     query times the components next in line; once the kth score is above that bound, the search ends. It also ends, and
     may not even begin, where the bound is below the query's floor: scores under the floor aren't wanted.
     """
-    n, dims = rows.shape
-    lists = np.argsort(rows, axis=0, kind="stable")
-    values = np.take_along_axis(rows, lists, axis=0)
+    block = Block(ids, ids, rows.astype(float))
     floors = np.full(len(queries), LEAST) if floors is None else floors
-    for q, own, floor in zip(queries, query_ids.tolist(), floors.tolist(), strict=True):
-        used = np.flatnonzero(q)
-        down = q[used] > 0
-        seen = np.zeros(n, dtype=bool)
-        scores = np.zeros(n, dtype=np.int64)
-        best = np.zeros(0, dtype=np.int64)
-        depth, step = 0, DEPTH
-        while depth < n:
-            bound = int((q[used] * values[np.where(down, n - 1 - depth, depth), used]).sum())
-            if bound < floor or len(best) == k and scores[best[-1]] > bound:
+    for q, own, floor in zip(queries.astype(float), query_ids.tolist(), floors.tolist(), strict=True):
+        best, kept = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        for new, scores, bound in accessed(block, q):
+            wanted = (ids[new] != own) & (scores >= floor)
+            if wanted.any():
+                best, kept = np.concatenate([best, new[wanted]]), np.concatenate([kept, scores[wanted]])
+                order = np.lexsort((ids[best], ~kept))  # ~ turns the order round and can't overflow
+                order = order[np.sort(np.unique(ids[best[order]], return_index=True)[1])[:k]]  # each id's best vector
+                best, kept = best[order], kept[order]
+            if bound is not None and (bound < floor or len(kept) == k and bound < int(kept[-1])):
                 break
-            end = min(n, depth + step) if len(used) else n
-            if end == n:
-                new = np.flatnonzero(~seen)
-            else:
-                places = np.arange(depth, end)[:, None]
-                fresh = np.zeros(n, dtype=bool)
-                fresh[lists[np.where(down[None, :], n - 1 - places, places), used[None, :]].ravel()] = True
-                new = np.flatnonzero(fresh & ~seen)
-            seen[new] = True
-            scores[new] = rows[new] @ q
-            new = new[(ids[new] != own) & (scores[new] >= floor)]
-            pool = np.concatenate([best, new])
-            pool = pool[np.lexsort((ids[pool], -scores[pool]))]
-            best = pool[np.sort(np.unique(ids[pool], return_index=True)[1])[:k]]  # each id's best vector
-            depth, step = end, step * 2
-        yield own, ids[best], scores[best]
+        yield own, ids[best], kept
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -85,25 +66,16 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                 )
 
 
-def whole_steps(vector: Column, steps: int) -> Column:
-    """floor(steps * x) of each component; null where the vector or a component is null, NaN or infinite, or so large
-    (above about 10^6 for 64 dimensions and 256 steps) that an inner product might not fit a long."""
-    doubles = vector.cast("array<double>")
-    # Beyond this bound a sum of products might not fit a long.
-    most = F.sqrt(F.lit(float(1 << 62)) / F.greatest(F.size(doubles), F.lit(1)))
-    sound = F.forall(doubles, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) * steps + 1 < most))
-    return F.when(sound, F.transform(doubles, lambda x: F.floor(x * steps).cast("long")))
-
-
 def nearest(
     vectors: DataFrame, is_query: Column, k: int = 5, steps: int = 256, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """The k rows with the largest inner product for each query: (query_id, rank, vec_id, score).
 
     Components are floor(steps * x). Candidates are all rows with another id and as many components; ties go to the
-    smaller id; fewer candidates give fewer rows. Vectors that are null or hold null, non-finite or too large components (see
-    whole_steps()), and rows without an id, take no part. A row repeated as a whole counts once; an id with several vectors is several
-    candidates and several queries, whose results merge. Other columns are ignored.
+    smaller id; fewer candidates give fewer rows. Vectors that are null or hold null, NaN or infinite components, and rows
+    without an id, take no part. Components may have any size: scores are exact integers, and a pair whose score doesn't fit
+    a long is left out. A row repeated as a whole counts once; an id with several vectors is several candidates and several
+    queries, whose results merge. Other columns are ignored.
 
     Of identical vectors only the k + 1 smallest ids can be among anybody's k best others, so copies go first. The
     rest is cut into blocks of bounded size by length, the longest vectors last. Every query first searches the block of
@@ -114,7 +86,7 @@ def nearest(
     squares = F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
     rows = (
         vectors.where(F.col(id_col).isNotNull())
-        .select(F.col(id_col).cast("long").alias("vec_id"), whole_steps(F.col(vector_col), steps).alias("v"), is_query.alias("is_query"))
+        .select(F.col(id_col).cast("long").alias("vec_id"), whole_numbers(F.col(vector_col), steps).alias("v"), is_query.alias("is_query"))
         .where("v IS NOT NULL")
         .dropDuplicates(["vec_id", "v"])
         .select("vec_id", "v", "is_query", F.size("v").alias("dims"), F.sqrt(squares).alias("length"))

@@ -190,10 +190,30 @@ def test_names_of_speakers_forge_no_header(spark):
     assert not any("|>\nforged" in r["text"] for r in got)
 
 
-def test_top_k_refuses_scores_that_do_not_fit(spark):
-    rows = [(0, [1e17, 1.0]), (1, [1e17, 1.0]), (2, [1.0, 2.0]), (3, [1.0, 1.0])]
+def test_top_k_of_large_components(spark):
+    rows = [(0, [1.0, 1.0]), (50, [1.0, 0.0]), (2, [1e10, 0.0])]
+    got = topk.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, k=1).collect()
+    assert {(r["query_id"], r["vec_id"], r["score"]) for r in got} == {(0, 2, 655_360_000_000_000), (50, 2, 655_360_000_000_000)}
+
+
+def test_top_k_leaves_out_scores_that_do_not_fit(spark):
+    rows = [(0, [1e17, 1.0]), (1, [1e17, 1.0]), (2, [1.0, 2.0]), (3, [1.0, 1.0]), (4, [-1e300, 1e300])]
     got = topk.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True), k=1).collect()
-    assert {(r["query_id"], r["vec_id"]) for r in got} == {(2, 3), (3, 2)}
+    assert {(r["query_id"], r["vec_id"]) for r in got} == {(2, 3), (3, 2), (4, 3)}  # (4, 3) cancels to 0
+
+
+def test_top_k_of_components_of_all_sizes_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=4) * 10.0 ** rng.integers(-2, 13, 4)]) for i in range(200)]
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    want = []
+    for q in range(0, 200, 20):
+        scores = {i: sum(a * b for a, b in zip(whole[q], v, strict=True)) for i, v in whole.items() if i != q}
+        best = sorted((-s, i) for i, s in scores.items() if -(1 << 63) <= s < 1 << 63)[:5]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    got = topk.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
 
 
 def test_tables_are_shared_and_deleted(spark):
