@@ -59,3 +59,13 @@ def clear_of(frame: DataFrame, names: tuple[str, ...]) -> DataFrame:
                 new = f"input_{new}"
             renamed[name] = new
     return frame.withColumnsRenamed(renamed)
+
+
+def free_names(frame: DataFrame, names: tuple[str, ...]) -> list[str]:
+    """The names, each with as many `_` before it as it takes to be no column of the frame, whatever the case."""
+    taken, free = {c.lower() for c in frame.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        free.append(name)
+    return free

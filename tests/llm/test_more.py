@@ -104,11 +104,94 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark):
         assert stage(spark, none, "").count() == 0
 
 
-def test_decontamination_is_the_same_by_broadcast_and_by_shuffle(spark):
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_decontamination_is_the_same_by_broadcast_and_by_shuffle(spark, no_broadcast):
     sf = "/root/testdata/sf0.001"
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
-    by = [sorted(map(tuple, decontamination.contaminated(docs, items, broadcast_windows=n).collect())) for n in (0, 200_000)]
-    assert by[0] == by[1] and by[0]
+    item = "The 3 trains to Rome leave at 5 and the 4 trains to Bern leave at 7 from the same old station"
+    items = items.unionByName(spark.createDataFrame([(9_001, item), (9_002, "Add 3 km, 4 km and 5 km"), (9_003, "blue whales")], items.schema))
+    more = [(None, f"so {item.replace('3', '8').replace('Rome', 'Oslo')}"), (None, "add 7 km, 8 km and 9 km of blue whales"), (None, None)]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([*more, *more], "doc_id long, text string"))
+    by = [sorted(map(str, decontamination.contaminated(docs, items, broadcast_windows=n).collect())) for n in (0, 200_000)]
+    assert by[0] == by[1] and sum("doc_id=None" in r for r in by[0]) == 3
+    left = decontamination.decontaminated(docs, items).where("doc_id IS NULL").collect()
+    assert [tuple(r) for r in left] == [(None, None)] * 2
+
+
+def test_questions_dense_in_slots_are_found_with_other_values(spark):
+    items = [(1, "Add 3 km, 4 km and 5 km"), (2, "A rope of 3 m costs 3.5 dollars, how much are 1,000 m of rope, 12 m of wire and 4 hooks?")]
+    texts = [
+        "Add 3 km, 4 km and 5 km",
+        "Add 7 km, 8 km and 9 km",
+        "We add 7 km, 8 km and then 9 km",
+        "Add 7 km, 7 km and 9 km",
+        items[1][1].replace("3.5", "4").replace("1,000", "25"),
+        items[1][1].replace("3 m", "2.75 m").replace("12", "1,300.5"),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontamination.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(0, 1), (1, 1), (3, 1), (4, 2), (5, 2)}
+    assert all(r["coverage"] == 1.0 for r in got)
+
+
+def test_windows_and_slots_by_brute_force(spark):
+    """Random texts of few words and numbers, so that windows meet by chance, values clash and stretches break."""
+    rng = random.Random(4)
+    draw = lambda n: " ".join(rng.choice(["so", "we", "go", "by", "up", "3", "4", "5"]) for _ in range(n))
+    items = [(i, draw(rng.randint(3, 14))) for i in range(25)]
+    docs = [(i, draw(rng.randint(0, 40)) + " " + rng.choice(items)[1].translate({51: rng.choice("3456")}) + " " + draw(5)) for i in range(60)]
+    n, few = decontamination.WINDOW, decontamination.LITERALS
+    kind = lambda w: "#" if w.isdigit() else w
+
+    def cuts(words, size):
+        return [(i, words[i : i + size]) for i in range(len(words) - size + 1)]
+
+    want = set()
+    for (d, text), (item, question) in itertools.product(docs, items):
+        words, asked = text.split(), question.split()
+        size = min(n, len(asked))
+        best = None
+        for reading in ("plain", "mid"):
+            of = (lambda w: w) if reading == "plain" else kind
+            literals = lambda w: sum(not x.isdigit() for x in w)
+            loose = {i for i, w in cuts(asked, size) if reading == "mid" and literals(w) < min(few, size)}
+            idle = {i for i, w in cuts(asked, size) if i in loose and (not literals(w) or len({x for x in asked if not x.isdigit()}) < few)}
+            strict = {i for i, _ in cuts(asked, size)} - loose
+            matched, slots, loosest, every = set(), set(), 0, set()
+            for shift in range(-len(asked), len(words) + 1):
+                hit = [(i, w, words[i + shift : i + shift + size]) for i, w in cuts(asked, size) if i not in idle and 0 <= i + shift <= len(words) - size]
+                hit = [(i, [(a, b) for a, b in zip(w, v, strict=True) if reading == "mid" and a.isdigit()]) for i, w, v in hit if [*map(of, w)] == [*map(of, v)]]
+                values = {p for _, ps in hit for p in ps}
+                mixed = {a for a, b in values if len({y for x, y in values if x == a}) > 1}
+                hit = [(i, ps) for i, ps in hit if not any(a in mixed for a, _ in ps)]
+                matched |= {i for i, _ in hit if i in strict}
+                slots |= {p for i, ps in hit if i in strict for p in ps}
+                every |= {p for _, ps in hit for p in ps}
+                loosest = max(loosest, sum(i in loose for i, _ in hit))
+            here = None
+            if loose - idle and matched == strict and loosest == len(loose - idle):
+                here = (1.0, len(strict) + loosest, len(strict) + loosest, len(every))
+            elif matched and len(matched) >= decontamination.COVERAGE * len(strict):
+                here = (len(matched) / len(strict), len(matched), len(strict), len(slots))
+            best = max(filter(None, (best, here)), default=None)
+        if best:
+            want.add((d, item, best[1], best[2], best[3]))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontamination.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["n_matched"], r["n_windows"], r["n_slots"]) for r in got} == want and len(want) > 60
+
+
+def test_stages_leave_columns_of_any_name(spark):
+    names = ["__id", "__part", "__bad_id", "__bad_part", "bad_id", "bad_part", "stays"]
+    rows = [(i, f"w{i} x y z u v w {i}", "s") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(7) for c in names})
+    assert decontamination.decontaminated(docs, spark.createDataFrame([(1, "x y z u v w")], "item_id long, text string")).columns == docs.columns
 
 
 def test_names_of_two_words_and_numbers_with_units(spark):
