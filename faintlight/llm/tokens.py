@@ -7,6 +7,7 @@ not grow with a partition, only with the longest single text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 19
 CHUNK_ROWS = 1000
+LONG_WORD = 32
 #: Bytes that separate words: \x20 and \x09-\x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -91,10 +93,17 @@ class Texts:
         return starts, ends, np.searchsorted(starts, self.offsets)
 
     def word_codes(self, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """A 64-bit code for each word, with what words() returns."""
+        """A 64-bit code for each word, with what words() returns.
+
+        Sums of codes times powers modulo 2**64 tell long words of a certain structure badly apart, so words of more than
+        LONG_WORD bytes have a digest for their code."""
         starts, ends, places = self.words()
-        codes = BYTE_CODES[LOWER[self.data] if lower else self.data]
-        return span_hash(prefix_sums(codes), starts, ends), starts, ends, places
+        data = LOWER[self.data] if lower else self.data
+        codes = span_hash(prefix_sums(BYTE_CODES[data]), starts, ends)
+        long = np.flatnonzero(ends - starts > LONG_WORD)
+        digests = (blake2b(data[a:b], digest_size=8).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True))
+        codes[long] = np.frombuffer(b"".join(digests), dtype="<u8")
+        return codes, starts, ends, places
 
 
 def chunks(column: pa.Array, size: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[Texts]:

@@ -187,11 +187,28 @@ def test_windows_and_slots_by_brute_force(spark):
     assert {(r["doc_id"], r["item_id"], r["n_matched"], r["n_windows"], r["n_slots"]) for r in got} == want and len(want) > 60
 
 
+@pytest.mark.parametrize("length", [64, 1024, 4096])
+def test_long_words_of_like_structure_are_different(spark, length):
+    word = "".join("ab"[i.bit_count() % 2] for i in range(length))  # the Thue-Morse word and its complement
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"p q {word} r s"), (2, f"p q {other} r s"), (3, f"P q {word.upper()} r s")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, percent=85).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    texts = [f"{' '.join(f'w{i}' for i in range(49))} {w}" for w in (word, other, word)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.without_repeats(docs, digest=True).collect()}
+    assert got == {0: 0, 1: 0, 2: 50}
+
+
 def test_stages_leave_columns_of_any_name(spark):
     names = ["__id", "__part", "__bad_id", "__bad_part", "bad_id", "bad_part", "stays"]
     rows = [(i, f"w{i} x y z u v w {i}", "s") for i in range(4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(7) for c in names})
     assert decontamination.decontaminated(docs, spark.createDataFrame([(1, "x y z u v w")], "item_id long, text string")).columns == docs.columns
+    import corpus_pipeline
+
+    kept = corpus_pipeline.near_dedup(spark, docs.unionByName(docs.where("doc_id = 1")), "")
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3]
 
 
 def test_names_of_two_words_and_numbers_with_units(spark):
