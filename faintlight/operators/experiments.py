@@ -7,13 +7,17 @@ over experiments; each one's work is Spark's.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import partial, reduce
+from hashlib import sha256
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faintlight.operators import models, stats
@@ -40,6 +44,43 @@ def compared(train: DataFrame, test: DataFrame, sets: dict[str, list[str]], mode
     return reduce(DataFrame.unionByName, found)
 
 
+def durably(spark: SparkSession, runs: dict[str, Callable[[], DataFrame]], folder: str, settings: dict | None = None, at_once: int = 4) -> DataFrame:
+    """All rows of the runs' results, each result with its run's name in front as `run`.
+
+    Up to `at_once` runs go on at a time, each in a scheduler pool of its own. A result is written in `folder`, which
+    driver and executors share, under the digest of its name and the settings (whatever decides on the results: data,
+    columns, seeds); what stands there already isn't run again, so after a lost driver the same call does the rest.
+    If a run fails the others still end and are kept; then its error is raised. Results need one schema.
+    """
+    if not runs:
+        raise ValueError("no runs")
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def done(path: str) -> bool:
+        mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return mark.getFileSystem(hadoop).exists(mark)
+
+    def result(name: str) -> str:
+        key = json.dumps([name, settings or {}], sort_keys=True, default=str)
+        path = f"{folder.rstrip('/')}/{sha256(key.encode()).hexdigest()}"
+        if not done(path):
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+            runs[name]().select(F.lit(name).alias("run"), "*").write.mode("overwrite").parquet(path)
+        return path
+
+    with ThreadPoolExecutor(at_once) as pool:
+        begun = [pool.submit(inheritable_thread_target(result), name) for name in runs]
+    return spark.read.parquet(*(each.result() for each in begun))
+
+
+def compared_durably(
+    train: DataFrame, test: DataFrame, sets: dict[str, list[str]], folder: str, settings: dict, model: Model = models.forest_control, at_once: int = 4
+) -> DataFrame:
+    """compared() by durably(): the settings must name the data and the model, the columns of a set are added to them."""
+    runs = {json.dumps([name, columns]): partial(compared, train, test, {name: columns}, model) for name, columns in sets.items()}
+    return durably(train.sparkSession, runs, folder, settings, at_once).drop("run")
+
+
 def leaving_out(groups: dict[str, list[str]]) -> dict[str, list[str]]:
     """Sets for compared(): all columns, then all but each group. Groups that would leave nothing are skipped."""
     whole = [c for columns in groups.values() for c in columns]

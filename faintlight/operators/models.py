@@ -48,9 +48,10 @@ def control(train: DataFrame, test: DataFrame, classifier, balanced: bool = True
     return found.select("id", "clase", F.get(names, F.col("__p").cast("int")).alias("prediction"))
 
 
-def forest_control(train: DataFrame, test: DataFrame, trees: int = 200, depth: int = 30, seed: int = 42) -> DataFrame:
-    """control() by a random forest with the square root of the features at each split."""
-    return control(train, test, RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed))
+def forest_control(train: DataFrame, test: DataFrame, trees: int = 200, depth: int = 30, seed: int = 42, leaf: int = 1, balanced: bool = True) -> DataFrame:
+    """control() by a random forest with the square root of the features at each split and at least `leaf` rows in a leaf."""
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", seed=seed)
+    return control(train, test, forest, balanced)
 
 
 def logistic_control(train: DataFrame, test: DataFrame, c: float = 1.0, steps: int = 1000) -> DataFrame:

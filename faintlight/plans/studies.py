@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from faintlight.functions import features, shapes
@@ -57,4 +55,4 @@ def self_detect(spark, sf_dir):
 @query()
 def feature_ablation(spark, sf_dir):
     train, test = (x.select("id", "clase", *features.CORE) for x in _part_features(spark, sf_dir))
-    return experiments.compared(train, test, experiments.leaving_out(GROUPS), partial(models.logistic_control, steps=100))
+    return experiments.compared(train, test, experiments.leaving_out(GROUPS), models.logistic_control)

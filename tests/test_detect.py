@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from faintlight.operators import detect, forest, neighbours
+from faintlight.operators import detect, forest, models, neighbours
 
 
 def rows(spark, rng, n, classes, first=0):
@@ -66,3 +66,15 @@ def test_no_plan_grows_with_the_classes(spark, monkeypatch):
         jobs[classes] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"of {classes}"))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[500] <= 1.5 * jobs[25]
+
+
+def test_the_control_forest_is_that_of_the_experiments(spark):
+    rows = [(i, "ab"[i % 2] if i != 4 else None, float(i % 2) + (i % 7) / 100, float(i % 5) if i != 7 else None) for i in range(120)]
+    frame = spark.createDataFrame(rows, "id long, kind string, x double, y double")
+    train, test = frame.where("id < 80"), frame.where("id >= 80").unionByName(spark.createDataFrame([(200, "c", 1.0, 1.0), (201, "a", None, 1.0)], frame.schema))
+    got = {r["id"]: r for r in detect.control_forest(train, test, ["x", "y"], "kind", trees=5).collect()}
+    assert sorted(got) == [*range(80, 120), 200]
+    assert all(not r["wrong"] and r["predicted"] == r["clase"] for i, r in got.items() if i < 200) and got[200]["wrong"]
+    v = frame.where("y IS NOT NULL").select("id", F.col("kind").alias("clase"), F.array("x", "y").alias("v"))
+    coarse = models.forest_control(v, v, trees=5, leaf=100).select("prediction").distinct().count()
+    assert coarse == 1  # no split leaves 100 rows on both sides

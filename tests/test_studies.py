@@ -65,3 +65,28 @@ def test_a_set_against_itself_takes_only_optional_columns_with_values(spark):
     frame = spark.createDataFrame(rows, "id long, x double, y double, period double")
     got = detect.detect_self(frame, ["x", "y"], trees=20).orderBy("rank_if").first()
     assert got["id"] == 99 and got["strong_global"]
+
+
+def test_experiments_go_on_where_they_stopped(spark, tmp_path):
+    rows = [(i, "ab"[i % 2], float(i % 2) + (i % 7) / 100, float(i % 5)) for i in range(120)]
+    frame = spark.createDataFrame(rows, "id long, clase string, good double, noise double")
+    train, test, fitted = frame.where("id < 80"), frame.where("id >= 80"), []
+    sets = {"all": ["good", "noise"], "good": ["good"], "noise": ["noise"]}
+
+    def model(a, b):
+        n = len(a.first()["v"])
+        fitted.append(n)
+        if n == 2 and len(fitted) <= 3:
+            raise RuntimeError("lost")
+        return models.logistic_control(a, b, steps=10)
+
+    run = partial(experiments.compared_durably, train, test, sets, f"file://{tmp_path}", {"rows": "id < 80"}, model)
+    with pytest.raises(RuntimeError, match="lost"):
+        run()
+    assert sorted(fitted) == [1, 1, 2]
+    got = {r["experiment"]: r["accuracy"] for r in run().collect()}
+    assert sorted(fitted) == [1, 1, 2, 2] and got["all"] == got["good"] == 1.0 and got["noise"] < 0.9
+    want = experiments.compared(train, test, sets, partial(models.logistic_control, steps=10))
+    assert sorted(map(tuple, run().collect())) == sorted(map(tuple, want.collect())) and len(fitted) == 4
+    other = experiments.compared_durably(train, test, {"good": ["good"]}, f"file://{tmp_path}", {"rows": "all"}, model)
+    assert other.count() == 1 and len(fitted) == 5
