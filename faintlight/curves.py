@@ -68,6 +68,11 @@ def main_band(points: DataFrame, priority: Sequence[str] = BAND_PRIORITY) -> Dat
     return points.join(chosen, (F.col("id_objeto") == F.col("__id")) & F.col("banda").eqNullSafe(F.col("__b"))).drop("__id", "__b")
 
 
+def first_named_band(points: DataFrame, bands: Sequence[str] = BAND_PRIORITY) -> DataFrame:
+    """Each object's points in the first of these bands that it has, however few they are; objects with none are left out."""
+    return main_band(points.where(F.col("banda").isin(*bands)), bands)
+
+
 def last_duplicate(points: DataFrame, copy: str) -> DataFrame:
     """Each curve's points of its last copy only, where a source gives a curve several times: those with the largest `copy`."""
     last = points.groupBy(*CURVE).agg(F.max(copy).alias("__last")).withColumnsRenamed({c: f"__{c}" for c in CURVE})

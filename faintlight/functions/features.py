@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faintlight.curves import CURVE, clean
+from faintlight.curves import CURVE, clean, finite
 
 #: Fixed names and order of the twelve canonical features.
 CORE = [
@@ -28,12 +28,19 @@ def guarded(value: Column, when: Column) -> Column:
     return F.when(when, value).otherwise(F.lit(0.0))
 
 
+def own_period() -> Column:
+    """The period that points have in their metadata; null where there is none."""
+    return F.try_element_at("metadata", F.lit("period")).cast("double")
+
+
 def core_features(points: DataFrame, keys: list[str] = CURVE, passed: tuple[str, ...] = ()) -> DataFrame:
     """The twelve features of each curve, with n_points and the first value of the columns `passed`.
 
-    Deviations are population ones. Features that divide by a vanishing spread, mean or time step are 0.
+    Points with `metadata` also give their curve's period, under that name. Deviations are population ones. Features that divide by a vanishing spread, mean or time step are 0.
     """
     curve, time = by_curve(keys), in_time(keys)
+    if "metadata" in points.columns and "period" not in (*points.columns, *passed):
+        points, passed = points.withColumn("period", own_period()), (*passed, "period")
     p = clean(points)
     p = p.withColumn("__mean", F.avg("m").over(curve)).withColumn("__median", F.percentile("m", F.lit(0.5)).over(curve))
     p = p.withColumn("__dm", F.col("m") - F.lag("m").over(time)).withColumn("__dt", F.col("t") - F.lag("t").over(time))
@@ -115,10 +122,10 @@ def pack_weighted(points: DataFrame, keys: list[str] = CURVE) -> DataFrame:
     )
 
 
-def fourier_moments(points: DataFrame, period: Column, harmonics: int = 3, keys: list[str] = CURVE) -> DataFrame:
+def fourier_moments(points: DataFrame, period: Column | None = None, harmonics: int = 3, keys: list[str] = CURVE) -> DataFrame:
     """Sums for the least-squares fit of `harmonics` sines to the phase-folded curve, of magnitudes less their mean: one
-    array `xtx` and one `xty`."""
-    p = clean(points).withColumn("__p", period).where(F.col("__p") > 0)
+    array `xtx` and one `xty`. Without `period` each curve is folded by its own, from its points' metadata."""
+    p = clean(points).withColumn("__p", own_period() if period is None else period).where(finite("__p") & (F.col("__p") > 0))
     p = p.withColumn("m", F.col("m") - F.avg("m").over(by_curve(keys)))
     turn = 2 * F.pi() * F.pmod((F.col("t") - F.min("t").over(by_curve(keys))) / F.col("__p"), F.lit(1.0))
     p = p.withColumn("__x", F.array(F.lit(1.0), *(f(k * turn) for k in range(1, harmonics + 1) for f in (F.cos, F.sin))))
@@ -131,7 +138,7 @@ def fourier_moments(points: DataFrame, period: Column, harmonics: int = 3, keys:
     )
 
 
-def fourier_features(points: DataFrame, period: Column, harmonics: int = 3, keys: list[str] = CURVE) -> DataFrame:
+def fourier_features(points: DataFrame, period: Column | None = None, harmonics: int = 3, keys: list[str] = CURVE) -> DataFrame:
     """Amplitudes, amplitude ratios and phase differences of the fit; null where it isn't determined."""
     size = 2 * harmonics + 1
     names = [*(f"amplitude_{k}" for k in range(1, harmonics + 1)), "residual_std", *(f"r{k}1" for k in range(2, harmonics + 1)), *(f"phi{k}1" for k in range(2, harmonics + 1))]

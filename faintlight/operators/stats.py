@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -177,6 +178,37 @@ def imputed(frame: DataFrame, columns: list[str], train: Column) -> DataFrame:
     return frame.join(F.broadcast(medians)).withColumns({c: F.coalesce(ok[c], F.col(f"__{c}")[0], F.lit(0.0)) for c in columns}).drop(*(f"__{c}" for c in columns))
 
 
+def bucket_metrics(rows: DataFrame, value: str, truth: str, guess: str, buckets: Mapping[str, tuple[float | None, float | None]]) -> DataFrame:
+    """(bucket, objects, mean, median, accuracy, balanced) for ranges [low, high) of a value; None leaves an end open.
+
+    Balanced accuracy is the mean of the recalls of the classes in a bucket. A bucket without rows has a row of nulls with
+    0 objects; rows in no bucket, without a class or without a value don't count, and a null guess is a wrong one. Rows are
+    counted by bucket, class, value and hit first, so a hot bucket isn't one task's.
+    """
+    v = F.col(value)
+    inside = {k: (F.lit(True) if low is None else v >= low) & (F.lit(True) if high is None else v < high) for k, (low, high) in buckets.items()}
+    named = F.coalesce(*(F.when(test & v.isNotNull(), k) for k, test in inside.items()))
+    hit = F.coalesce(F.col(truth) == F.col(guess), F.lit(False))
+    counts = rows.select(named.alias("bucket"), F.col(truth).alias("class"), v.cast("double").alias("v"), hit.alias("hit")).where("bucket IS NOT NULL AND class IS NOT NULL")
+    counts = counts.groupBy("bucket", "class", "v").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+    recalls = counts.groupBy("bucket", "class").agg((F.sum("hits") / F.sum("n")).alias("recall")).groupBy("bucket").agg(F.avg("recall").alias("balanced"))
+    values = counts.groupBy("bucket", "v").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    found = values.groupBy("bucket").agg(
+        F.sum("n").alias("objects"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
+        F.percentile("v", F.lit(0.5), F.col("n")).alias("median"), (F.sum("hits") / F.sum("n")).alias("accuracy"),
+    )
+    names = rows.sparkSession.createDataFrame([(k,) for k in buckets], "bucket string")
+    return names.join(found, "bucket", "left").join(recalls, "bucket", "left").withColumn("objects", F.coalesce("objects", F.lit(0)))
+
+
+def class_observations(rows: DataFrame, label: str, count: str) -> DataFrame:
+    """How many observations the objects of each class have: objects, mean, median, sample deviation, least and most."""
+    n = F.col(count)
+    return rows.groupBy(label).agg(
+        F.count(n).alias("objects"), F.avg(n).alias("mean"), F.percentile(n, F.lit(0.5)).alias("median"), F.stddev_samp(n).alias("std"), F.min(n).alias("min"), F.max(n).alias("max"),
+    )
+
+
 def hash_order(column: Column, seed: str) -> Column:
     return F.md5(F.concat(column.cast("string"), F.lit(seed)))
 

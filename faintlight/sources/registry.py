@@ -44,9 +44,42 @@ def registered() -> list[type[Source]]:
 
 REQUIRED = ("id_objeto", "tiempo", "magnitud")
 
+#: Fixed keys of a manifest, with what each is for.
+TEMPLATE = """id: my_source            # file name without ending, if left out
+nombre: "My source"      # needed: shown in lists of sources
+descripcion: "What the table holds."
+version_esquema: 1
+acceso:
+  formato: csv           # csv or parquet
+  # ruta_defecto: path   # where the table is, if the caller gives no path
+formato_datos: largo     # one row for each observation
+mapeo_columnas:          # the table's names for these; the first three are needed
+  id_objeto: object_id
+  tiempo: mjd
+  magnitud: mag
+  error: mag_err
+  banda: filter          # without it, give banda_fija
+  clase_conocida: class
+# banda_fija: r          # the band of all observations
+unidades:
+  offset_tiempo: 0.0     # added to times, so that they come in days
+valores_nulos: ["NaN", "null", "", "-999", "-99.9"]
+"""
+
+
+def write_template(path: str) -> None:
+    """Writes a manifest to begin from; an existing file is never overwritten."""
+    with open(path, "x", encoding="utf-8") as file:
+        file.write(TEMPLATE)
+
 
 def tabular(spark: SparkSession, manifest: Mapping, path: str | None = None) -> DataFrame:
-    """Points of a long CSV or parquet table, as a manifest describes it."""
+    """Points of a long CSV or parquet table, as a manifest describes it (TEMPLATE shows all its keys).
+
+    Short manifests may also name the file, its format and the time offset at the top: ruta_datos, formato_archivo,
+    offset_tiempo; and the class column `clase`. A path given here comes before the manifest's.
+    """
+    access, units = manifest.get("acceso") or {}, manifest.get("unidades") or {}
     mapping = manifest.get("mapeo_columnas") or {}
     if missing := [c for c in REQUIRED if not mapping.get(c)]:
         raise ValueError(f"the manifest maps no {', '.join(missing)}")
@@ -54,8 +87,8 @@ def tabular(spark: SparkSession, manifest: Mapping, path: str | None = None) ->
         raise ValueError("the manifest needs a band column or a fixed band")
     if manifest.get("formato_datos", "largo") != "largo":
         raise ValueError("only the long format can be read")
-    kind = manifest.get("formato_archivo", "csv")
-    path = path or manifest.get("ruta_datos")
+    kind = access.get("formato") or manifest.get("formato_archivo", "csv")
+    path = path or access.get("ruta_defecto") or manifest.get("ruta_datos")
     if kind not in ("csv", "parquet") or not path:
         raise ValueError("a path to a csv or parquet table is needed")
     raw = spark.read.option("header", True).csv(path) if kind == "csv" else spark.read.parquet(path)
@@ -75,8 +108,8 @@ def tabular(spark: SparkSession, manifest: Mapping, path: str | None = None) ->
         raw.select(
             text("id_objeto").alias("id_objeto"),
             (text("banda") if mapping.get("banda") else F.lit(manifest.get("banda_fija"))).alias("banda"),
-            (number("tiempo") + float(manifest.get("offset_tiempo", 0.0))).alias("t"),
-            number("magnitud").alias("m"), number("error").alias("e"), text("clase").alias("clase"),
+            (number("tiempo") + float(units.get("offset_tiempo", manifest.get("offset_tiempo", 0.0)))).alias("t"),
+            number("magnitud").alias("m"), number("error").alias("e"), text("clase_conocida" if mapping.get("clase_conocida") else "clase").alias("clase"),
             F.monotonically_increasing_id().alias("src_idx"),
         ).where("id_objeto IS NOT NULL")
     )
@@ -110,6 +143,16 @@ def wide(frame: DataFrame, id_col: str, bands: Mapping[str, tuple[str, str, str
     return canonical(out.select("id_objeto", "p.*").where("t IS NOT NULL AND m IS NOT NULL"))
 
 
+def classed(rows: DataFrame, key: str, pattern: str, classes: DataFrame) -> DataFrame:
+    """Rows whose text `key` holds an id, with `id_objeto` and its class from `classes` (id_objeto, clase).
+
+    The id is the first group of `pattern`. Rows without a match and ids without a class are left out; of an id with
+    several classes the first by name counts. Spark broadcasts the classes where they are small."""
+    found = rows.withColumn("id_objeto", F.nullif(F.regexp_extract(F.col(key).cast("string"), pattern, 1), F.lit("")))
+    known = classes.groupBy(F.col("id_objeto").cast("string").alias("id_objeto")).agg(F.min("clase").alias("clase"))
+    return found.join(known, "id_objeto")
+
+
 def declared(folder: str) -> list[dict]:
     """The manifests of a folder by file name; unreadable ones are skipped with a warning, a missing folder has none."""
     import yaml
