@@ -460,12 +460,12 @@ def obs_bucket_metrics(spark, sf_dir):
 
 
 @query(f"""WITH {_LONG} SELECT CASE WHEN grouping(l_returnflag) = 0 THEN 'flag' ELSE 'status' END AS nivel, coalesce(l_returnflag, l_linestatus) AS clase, variable, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median,
-round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max FROM x GROUP BY GROUPING SETS ((l_returnflag, variable), (l_linestatus, variable))""")
+round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75 FROM x GROUP BY GROUPING SETS ((l_returnflag, variable), (l_linestatus, variable))""")
 def describe_two_levels(spark, sf_dir):
     x = _numbers(spark, sf_dir)
     g = x.groupingSets([[F.col("l_returnflag"), F.col("variable")], [F.col("l_linestatus"), F.col("variable")]], "l_returnflag", "l_linestatus", "variable")
-    g = g.agg(F.grouping("l_returnflag").alias("g"), F.count("*").alias("n"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    return rounded(g.select(F.when(F.col("g") == 0, "flag").otherwise("status").alias("nivel"), F.coalesce("l_returnflag", "l_linestatus").alias("clase"), "variable", "n", "mean", "median", "std", "min", "max"))
+    g = g.agg(F.grouping("l_returnflag").alias("g"), F.count("*").alias("n"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.percentile("value", F.lit(0.25)).alias("q25"), F.percentile("value", F.lit(0.75)).alias("q75"))
+    return rounded(g.select(F.when(F.col("g") == 0, "flag").otherwise("status").alias("nivel"), F.coalesce("l_returnflag", "l_linestatus").alias("clase"), "variable", "n", "mean", "median", "std", "min", "max", "q25", "q75"))
 
 
 @query(f"WITH {_LONG} SELECT l_returnflag AS clase, variable, round(CASE WHEN abs(avg(value)) > 1e-12 THEN stddev_samp(value) / abs(avg(value)) END, 6) AS cv FROM x GROUP BY ALL HAVING count(*) >= 2")
