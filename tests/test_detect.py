@@ -78,3 +78,28 @@ def test_the_control_forest_is_that_of_the_experiments(spark):
     v = frame.where("y IS NOT NULL").select("id", F.col("kind").alias("clase"), F.array("x", "y").alias("v"))
     coarse = models.forest_control(v, v, trees=5, leaf=100).select("prediction").distinct().count()
     assert coarse == 1  # no split leaves 100 rows on both sides
+
+
+def test_a_forest_comes_once_for_many_rows_and_trees_come_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(forest, "ROWS", 50)
+    rng = np.random.default_rng(6)
+    known = rows(spark, rng, 120, 2).select("id", "clase", F.array("x", "y").alias("v"))
+    forests = forest.forests(known, trees=4)
+    streams = forest._score_streams
+
+    def seen(batches):
+        for batch in batches:
+            assert batch.schema.field("cut").type.value_type == "double"  # one tree a row, not a forest beside each block
+            yield from streams([batch])
+
+    monkeypatch.setattr(forest, "_score_streams", seen)
+    got = forest.scored_by_class(known, forests, against_all=True)
+    assert got.count() == 240 and got.select("id", "clase").distinct().count() == 240
+
+
+def test_neighbouring_numbers_are_split():
+    x = [1.0] * 20 + [float(np.nextafter(1.0, 2.0))] * 20
+    for tree in range(20):
+        pdf = pd.DataFrame({"id": range(40), "tree": tree, "v": [[a] for a in x]})
+        found = forest._grow(pdf, 42).iloc[0]
+        assert found["feature"] == [0, -1, -1] and found["cut"][0] == x[-1]
