@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faintlight import curves
 from faintlight.functions import features
-from faintlight.operators import crossmatch, detect, matching, models, neighbours, quality, stats
+from faintlight.operators import crossmatch, detect, matching, models, neighbours, order, quality, stats
 from faintlight.operators.tables import set_checkpoints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -463,9 +464,12 @@ def obs_bucket_metrics(spark, sf_dir):
 round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75 FROM x GROUP BY GROUPING SETS ((l_returnflag, variable), (l_linestatus, variable))""")
 def describe_two_levels(spark, sf_dir):
     x = _numbers(spark, sf_dir)
-    g = x.groupingSets([[F.col("l_returnflag"), F.col("variable")], [F.col("l_linestatus"), F.col("variable")]], "l_returnflag", "l_linestatus", "variable")
-    g = g.agg(F.grouping("l_returnflag").alias("g"), F.count("*").alias("n"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.percentile("value", F.lit(0.25)).alias("q25"), F.percentile("value", F.lit(0.75)).alias("q75"))
-    return rounded(g.select(F.when(F.col("g") == 0, "flag").otherwise("status").alias("nivel"), F.coalesce("l_returnflag", "l_linestatus").alias("clase"), "variable", "n", "mean", "median", "std", "min", "max", "q25", "q75"))
+    levels = F.array(*(F.struct(F.lit(name).alias("nivel"), F.col(c).alias("clase")) for name, c in (("flag", "l_returnflag"), ("status", "l_linestatus"))))
+    x, keys = x.select(F.explode(levels).alias("x"), "variable", "value").select("x.*", "variable", "value"), ["nivel", "clase", "variable"]
+    g = x.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    q = order.quantiles(x, "value", (0.25, 0.5, 0.75), keys).select(*(F.col(k).alias(f"__{k}") for k in keys), *(F.col("q")[i].alias(c) for i, c in enumerate(("q25", "median", "q75"))))
+    g = g.join(q, reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)), "left")
+    return rounded(g.select(*keys, "n", "mean", "median", "std", "min", "max", "q25", "q75"))
 
 
 @query(f"WITH {_LONG} SELECT l_returnflag AS clase, variable, round(CASE WHEN abs(avg(value)) > 1e-12 THEN stddev_samp(value) / abs(avg(value)) END, 6) AS cv FROM x GROUP BY ALL HAVING count(*) >= 2")

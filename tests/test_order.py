@@ -76,3 +76,15 @@ def test_tests_of_distributions_in_many_ranges(spark, monkeypatch):
     parts = [stats.kolmogorov_smirnov(rows, "g", "x", "a", "b").first(), stats.kruskal_wallis(rows, "g", "x").first(), stats.roc_auc(rows, "x", "y").first()]
     for a, b in zip(whole, parts, strict=True):
         assert list(a) == pytest.approx(list(b), rel=1e-12)
+
+
+def test_two_levels_keep_no_buffer_of_values(spark, tmp_path):
+    from faintlight.plans.queries import describe_two_levels
+
+    rows = [("A" if i % 3 else None, "F" if i % 2 else "O", float(i), float(i % 7), None, 1.0) for i in range(50)]
+    spark.createDataFrame(rows, "l_returnflag string, l_linestatus string, l_quantity double, l_extendedprice double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = describe_two_levels(spark, str(tmp_path))
+    assert "percentile(" not in got._jdf.queryExecution().toString()
+    found = {(r["nivel"], r["clase"], r["variable"]): r for r in got.collect()}
+    assert len(found) == 16 and found["flag", None, "l_quantity"]["n"] == 17
+    assert [found["flag", None, "l_quantity"][c] for c in ("q25", "median", "q75")] == [12.0, 24.0, 36.0] and found["status", "F", "l_discount"]["median"] is None
