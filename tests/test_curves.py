@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +184,26 @@ def test_forests_of_classes_are_those_of_each_class(spark):
         size, trees = forest.grown(v.where(F.col("clase") == k), trees=5)
         plain = lambda ts: sorted((t["tree"], t["feature"], t["cut"], t["path"]) for t in ts)
         assert got[k][0] == size and plain(got[k][1]) == plain(trees)
+
+
+def test_cones_find_what_all_pairs_would(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    where = lambda n: [*zip(rng.uniform(0, 360, n), rng.uniform(-90, 90, n)), *zip(rng.uniform(0, 360, n), rng.uniform(88, 90, n)), *zip(10 + rng.normal(0, 0.01, n), rng.normal(0, 0.01, n))]  # noqa: E731, B905
+    a, b = where(150), where(150)
+    b += b[:40] + a[:20]
+    objects = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate([*a, a[3]])] + [(999, None, 1.0)], "id long, ra double, dec double")
+    stars = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(b)], "cat_id long, ra double, dec double")
+    monkeypatch.setattr(crossmatch, "CELL", 4)
+    got = {r["id"]: r for r in crossmatch.cone_join(objects, stars, 3.0).collect()}
+    assert len(got) == 452 and got[999]["cat_id"] is None
+    every = objects.crossJoin(stars.select("cat_id", F.col("ra").alias("x"), F.col("dec").alias("y"))).withColumn("d", crossmatch.separation(F.col("ra"), F.col("dec"), F.col("x"), F.col("y"))).where("d <= 3")
+    wanted = {r["id"]: r["s"] for r in every.groupBy("id").agg(F.min(F.struct("d", "cat_id")).alias("s")).collect()}
+    assert all((r["distance"], r["cat_id"]) == tuple(wanted.get(i, (None, None))) for i, r in got.items())
+
+
+def test_crowded_cones_begin_narrow(spark):
+    k = F.col("id")
+    points = spark.range(4000).select("id", ((k * 7919) % 36000 / 100.0).alias("ra"), ((k * 104729) % 100 / 100.0 + 84).alias("dec"))
+    stars = points.where("id % 2 = 1").select(k.alias("cat_id"), F.col("ra").alias("cat_ra"), F.col("dec").alias("cat_dec"))
+    reach = crossmatch.first_radius(stars, 2.0)
+    assert reach < 1 and crossmatch.candidates(points.where("id % 2 = 0").select("ra", "dec"), stars, reach).count() < 2000 * 9 * crossmatch.CELL
