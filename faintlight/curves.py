@@ -6,6 +6,7 @@ source, may be null). One row is one observation; points of a curve share id_obj
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 COLUMNS = ["id_objeto", "banda", "t", "m", "e", "clase", "src_idx"]
 CURVE = ["id_objeto", "banda"]
 BAND_PRIORITY = ("r", "g", "i")
+#: Points of a task that works on whole curves, about.
+TASK_POINTS = 200_000
 #: Strings that stand for "no value" in text columns.
 NULL_TOKENS = ("NaN", "null", "", "-999", "-99.9")
 
@@ -24,6 +27,16 @@ def canonical(frame: DataFrame) -> DataFrame:
     return frame.select(*((F.col(c) if c in frame.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in COLUMNS))
 
 
+def dealt(points: DataFrame, n: int, keys: Sequence[str] = ("id_objeto",)) -> DataFrame:
+    """About n points dealt by their object over so many tasks that each has about TASK_POINTS of them.
+
+    What follows by object or by curve works on these partitions. Left to the size of the shuffle, a task would have some
+    64 MB of packed points, which its sorts and windows hold several times over as rows.
+    """
+    tasks = max(math.ceil(n / TASK_POINTS), min(points.sparkSession.sparkContext.defaultParallelism, math.ceil(n / 1000)), 1)
+    return points.repartition(tasks, *keys)
+
+
 def finite(x: Column | str) -> Column:
     x = F.col(x) if isinstance(x, str) else x
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))

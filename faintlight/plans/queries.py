@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from faintlight import curves
 from faintlight.functions import features
 from faintlight.operators import crossmatch, detect, matching, models, neighbours, order, quality, stats
-from faintlight.operators.tables import set_checkpoints
+from faintlight.operators.tables import set_checkpoints, small
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -40,7 +40,8 @@ def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
 
 def lc_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return curves.canonical(e.select(F.col("user_id").alias("id_objeto"), F.col("event_type").alias("banda"), curves.days(F.col("ts")).alias("t"), F.col("value").alias("m"), F.col("event_id").alias("src_idx")))
+    points = e.select(F.col("user_id").alias("id_objeto"), F.col("event_type").alias("banda"), curves.days(F.col("ts")).alias("t"), F.col("value").alias("m"), F.col("event_id").alias("src_idx"))
+    return curves.dealt(curves.canonical(points), e.count())
 
 
 def _lineitem(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
@@ -53,12 +54,14 @@ def _lineitem(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
 def lc_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     classes = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(F.col("s_suppkey").alias("k"), F.col("n_regionkey").alias("clase"))
-    return curves.canonical(_lineitem(spark, sf_dir, "l_suppkey").join(classes, "k", "left"))
+    points = _lineitem(spark, sf_dir, "l_suppkey")
+    return curves.dealt(curves.canonical(points.join(small(classes), "k", "left")), points.count())
 
 
 def lc_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("clase"))
-    return curves.canonical(_lineitem(spark, sf_dir, "l_partkey").join(classes, "k", "left"))
+    points = _lineitem(spark, sf_dir, "l_partkey")
+    return curves.dealt(curves.canonical(points.join(small(classes), "k", "left")), points.count())
 
 
 EVENTS = "p AS (SELECT user_id::VARCHAR AS id_objeto, event_type AS banda, epoch_us(ts) / 86400000000.0::DOUBLE + 40587.0 AS t, value AS m, NULL::DOUBLE AS e, event_id AS src_idx FROM events)"

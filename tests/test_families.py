@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 import yaml
+from pyspark.sql import functions as F
 
 import faintlight
 from faintlight import curves
@@ -129,3 +130,15 @@ def test_look_ups_bands_and_buckets(spark):
 
 def test_exports():
     assert all(hasattr(faintlight, name) for name in faintlight.__all__)
+
+
+def test_points_are_dealt_over_bounded_tasks(spark, monkeypatch):
+    from faintlight.plans import queries
+
+    monkeypatch.setattr(curves, "TASK_POINTS", 500)
+    sf = "/root/testdata/sf0.001"
+    for name in ("family_15", "family_17", "tie_groups", "tie_characterisation"):
+        found = queries.QUERIES[name](spark, sf)
+        assert found.rdd.getNumPartitions() >= spark.read.parquet(f"{sf}/lineitem.parquet").count() / 500
+    sizes = queries.lc_part(spark, sf).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert sizes < 1500
