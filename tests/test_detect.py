@@ -2,10 +2,11 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from faintlight.operators import detect, forest, models, neighbours
+from faintlight.operators import detect, forest, models, neighbours, trees
 
 
 def rows(spark, rng, n, classes, first=0):
@@ -103,3 +104,42 @@ def test_neighbouring_numbers_are_split():
         pdf = pd.DataFrame({"id": range(40), "tree": tree, "v": [[a] for a in x]})
         found = forest._grow(pdf, 42).iloc[0]
         assert found["feature"] == [0, -1, -1] and found["cut"][0] == x[-1]
+
+
+def test_rows_come_once_for_the_trees_of_a_unit_and_copies_are_one_row(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    points = [(100 * copy + i, [float(a), float(a + i % 2)], f"c{i % 2}") for copy in range(3) for i, a in enumerate(rng.normal(size=100))]
+    once = {i % 100: v for i, v, _ in points[:100]}
+    frame = spark.createDataFrame([(i, once[i % 100], k) for i, _, k in points], "id long, v array<double>, clase string")
+    got = {r["id"]: r["prediction"] for r in models.forest_control(frame, frame, trees=40).collect()}
+    assert len(got) == 300 and all(got[i] == got[i % 100] == f"c{i % 2}" for i in got)  # each copy with its own id
+
+    def counted(batches, **_):
+        known = sum(b.num_rows - sum(b.column("asks").to_pylist()) for b in batches)
+        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0], type=pa.int32()), pa.array([float(known)])], names=["id", "label", "share"])
+
+    monkeypatch.setattr(trees, "_votes", counted)
+    train = frame.select("id", "v", F.expr("int(right(clase, 1))").alias("y"), F.lit(1.0).alias("w"))
+    rows = trees.votes(train, frame.select("id", "v"), 2, 40, 30, 1, 42).first()["share"] * 40
+    assert rows <= 100 * 2 * spark.sparkContext.defaultParallelism  # not 40 times the 300 rows drawn
+
+
+def test_a_merged_row_is_drawn_as_often_as_its_copies_together():
+    x, y, w = np.arange(400.0)[:, None], np.arange(400) // 100 % 2, np.ones(400)
+    rows = [(np.arange(400), x, y, w, np.full(400, 50), np.zeros((400, 2)))]
+    grown = trees._grown(rows, (0, 0), 1, 2, 2, 30, 1, 42)
+    assert [t.cut[0] % 100 for t in grown] == [99.5, 99.5] and all((t.asked(x).argmax(axis=1) == y).all() for t in grown)  # of 50 copies some are drawn
+
+
+def test_the_pipeline_gives_what_its_detectors_give(spark, monkeypatch):
+    monkeypatch.setattr(detect, "MIN_CLASS", 20)
+    rng = np.random.default_rng(8)
+    train, test = rows(spark, rng, 120, 2), rows(spark, rng, 60, 2, 1000)
+    got = {r["id"]: r for r in detect.detect(train, test, ["x", "y"], trees=5, control_trees=5).collect()}
+    whole = {r["id"]: r for r in detect.detect_global(train, test, ["x", "y"], trees=5).collect()}
+    in_class = {r["id"]: r for r in detect.detect_per_class(train, test, ["x", "y"], trees=5).collect()}
+    control = {r["id"]: r for r in detect.control_forest(train, test, ["x", "y"], trees=5).collect()}
+    assert len(got) == 60
+    for i, r in got.items():
+        assert r["score_lof"] == pytest.approx(whole[i]["score_lof"]) and r["rank_if"] == whole[i]["rank_if"]
+        assert (r["strong_in_class"], r["predicted"], r["wrong"]) == (in_class[i]["strong_in_class"], control[i]["predicted"], control[i]["wrong"])
