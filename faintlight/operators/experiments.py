@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from faintlight.operators import models, stats
 from faintlight.operators.neighbours import vector
+from faintlight.operators.tables import at_once
 
 Model = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -36,12 +37,13 @@ def metrics(predictions: DataFrame) -> DataFrame:
 
 
 def compared(train: DataFrame, test: DataFrame, sets: dict[str, list[str]], model: Model = models.forest_control) -> DataFrame:
-    """(experiment, n_features, n, accuracy, balanced_accuracy, macro_f1): a model for each named set of columns."""
-    found = []
-    for name, columns in sets.items():
+    """(experiment, n_features, n, accuracy, balanced_accuracy, macro_f1): a model for each named set of columns, some at once."""
+
+    def result(name: str, columns: list[str]) -> DataFrame:
         a, b = (x.select("id", "clase", vector(*columns).alias("v")) for x in (train, test))
-        found.append(metrics(model(a, b)).select(F.lit(name).alias("experiment"), F.lit(len(columns)).alias("n_features"), "*"))
-    return reduce(DataFrame.unionByName, found)
+        return metrics(model(a, b)).select(F.lit(name).alias("experiment"), F.lit(len(columns)).alias("n_features"), "*")
+
+    return reduce(DataFrame.unionByName, at_once(train.sparkSession, [partial(result, name, columns) for name, columns in sets.items()]))
 
 
 def durably(spark: SparkSession, runs: dict[str, Callable[[], DataFrame]], folder: str, settings: dict | None = None, at_once: int = 4) -> DataFrame:

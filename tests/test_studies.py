@@ -3,6 +3,7 @@ import struct
 from functools import partial
 
 import pytest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from faintlight import curves
@@ -90,3 +91,20 @@ def test_experiments_go_on_where_they_stopped(spark, tmp_path):
     assert sorted(map(tuple, run().collect())) == sorted(map(tuple, want.collect())) and len(fitted) == 4
     other = experiments.compared_durably(train, test, {"good": ["good"]}, f"file://{tmp_path}", {"rows": "all"}, model)
     assert other.count() == 1 and len(fitted) == 5
+
+
+def test_a_fit_passes_over_different_rows_dealt_evenly(spark, monkeypatch):
+    rows = [(6000 * copy + i, "ab"[(i % 10 + i % 7 // 4) % 2], [float(i % 10), float(i % 1009)]) for copy in range(3) for i in range(6000)]
+    frame, seen, fit = spark.createDataFrame(rows, "id long, clase string, v array<double>").coalesce(1), [], LogisticRegression._fit
+
+    def spied(self, table):
+        seen.append((table.count(), table.rdd.getNumPartitions()))
+        return fit(self, table)
+
+    monkeypatch.setattr(LogisticRegression, "_fit", spied)
+    got = models.logistic_control(frame, frame, steps=20)
+    assert seen == [(6000, 3)]  # of 18,000 rows in one task
+    assert got.count() == 18_000
+    monkeypatch.setattr(models, "merged", lambda rows: rows)
+    want = models.logistic_control(frame, frame, steps=20)
+    assert seen[1][0] == 18_000 and got.exceptAll(want).count() <= 18
