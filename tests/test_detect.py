@@ -143,3 +143,22 @@ def test_the_pipeline_gives_what_its_detectors_give(spark, monkeypatch):
     for i, r in got.items():
         assert r["score_lof"] == pytest.approx(whole[i]["score_lof"]) and r["rank_if"] == whole[i]["rank_if"]
         assert (r["strong_in_class"], r["predicted"], r["wrong"]) == (in_class[i]["strong_in_class"], control[i]["predicted"], control[i]["wrong"])
+
+
+def test_rows_against_themselves_are_worked_out_and_searched_once(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.normal(size=(60, 2)), rng.integers(1, 4, 60), axis=0)
+    seen, searches, searched = spark.sparkContext.accumulator(0), [], neighbours._searched
+    schema = "id long, x double, y double"
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    frame = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], schema)
+    monkeypatch.setattr(neighbours, "_searched", lambda *a: searches.append(1) or searched(*a))
+    got = {r["id"]: r["score_lof"] for r in detect.detect_self(frame.mapInArrow(counted, schema), ["x", "y"], trees=3).collect()}
+    assert seen.value <= 2 * len(x) and len(searches) == 1
+    apart = {r["id"]: r["score_lof"] for r in detect.detect_global(frame, frame.where("true"), ["x", "y"], trees=3).collect()}
+    assert len(searches) == 3 and got == pytest.approx(apart)
