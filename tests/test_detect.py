@@ -162,3 +162,24 @@ def test_rows_against_themselves_are_worked_out_and_searched_once(spark, monkeyp
     assert seen.value <= 2 * len(x) and len(searches) == 1
     apart = {r["id"]: r["score_lof"] for r in detect.detect_global(frame, frame.where("true"), ["x", "y"], trees=3).collect()}
     assert len(searches) == 3 and got == pytest.approx(apart)
+
+
+def test_trees_with_a_top_take_turns_and_give_the_same_shares(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(600, 3))
+    made = [(i, [float(a) for a in r], int(r[0] > 0) + 2 * int(r[1] > 0), 1.0) for i, r in enumerate(x)]
+    frame = spark.createDataFrame(made, "id long, v array<double>, y int, w double")
+    train, test = frame.where("id % 4 > 0"), frame.where("id % 4 = 0").select("id", "v")
+    monkeypatch.setattr(trees, "WHOLE", 100)
+    shuffled, voted = [], trees._voted
+    monkeypatch.setattr(trees, "_voted", lambda met, *a: shuffled.append(met.count()) or voted(met, *a))
+    shares = {}
+    for most in (10**9, 1000):
+        monkeypatch.setattr(trees, "SHUFFLED", most)
+        shuffled.clear()
+        shares[most] = {(r["id"], r["label"]): r["share"] for r in trees.votes(train, test, 4, 10, 8, 1, 42).collect()}
+        if most == 1000:
+            assert len(shuffled) == 5 and max(shuffled) < 1200
+    assert len(shuffled) > 1 and shares[1000] == pytest.approx(shares[10**9], abs=1e-8)
+    assert len({i for i, _ in shares[1000]}) == 150
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
